@@ -229,7 +229,7 @@ def spans(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(run, "doc_id long, start long, end long, lang string")
 
 
-def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text", switch: float = SWITCH, least: float = 0.5) -> DataFrame:
+def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text", switch: float = SWITCH, least: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, in one learned language for at least the share ``least`` of their letters."""
     at = docs.columns.index(text_col)
 
