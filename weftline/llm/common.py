@@ -37,3 +37,9 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    return ["_" * next(n for n in range(1, len(taken) + 2) if "_" * n + name not in taken) + name for name in names]

@@ -142,6 +142,8 @@ def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
     alive = np.searchsorted(-lengths, -np.arange(steps), side="left")  # sequences longer than t
     offset = np.concatenate([[0], np.cumsum(alive)])
     n_langs = scores[0].shape[1] if scores else 0
+    if not n_langs:
+        return [np.zeros(len(s), np.int16) for s in scores]
     laid = np.empty((int(offset[-1]), n_langs))
     for k, i in enumerate(order):
         if len(scores[i]):
@@ -157,7 +159,7 @@ def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
         stay = now >= jump[:, None]
         back[offset[t] : offset[t + 1]] = np.where(stay, own, top[:, None])
         best[:m] = np.where(stay, now, jump[:, None]) + laid[offset[t] : offset[t + 1]]
-    label = best.argmax(1) if n_langs else np.zeros(len(scores), int)
+    label = best.argmax(1)
     chosen = np.empty(int(offset[-1]), np.int16)
     for t in range(steps - 1, -1, -1):
         m = alive[t]

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import kept
+from weftline.llm.common import kept, unused
 
 #: The patterns of the base kinds and the least lengths of what they find.
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -121,10 +121,11 @@ def digests(scanned: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, scanned: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with ``mark`` in place of each span; overlapping spans become one mark. Texts without spans stay as they are, null included."""
-    spans = scanned.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), F.array_sort(F.concat("base", "linked")).alias("_s")).where(F.size("_s") > 0).dropDuplicates(["_d", "_t"])
+    d, t, s = unused(docs, "doc", "text", "spans")
+    spans = scanned.select(F.col("doc_id").alias(d), F.col("text_key").alias(t), F.array_sort(F.concat("base", "linked")).alias(s)).where(F.size(s) > 0).dropDuplicates([d, t])
     text = docs[text_col]
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     put = lambda a, x: F.when(x["start"] >= a["at"], F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit(mark)).alias("out"))).otherwise(F.struct(F.greatest(a["at"], x["end"]).alias("at"), a["out"].alias("out")))
-    new = F.aggregate(F.col("_s"), start, put, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    joined = docs.join(spans, docs[id_col].eqNullSafe(spans["_d"]) & (F.xxhash64(F.coalesce(text, F.lit(""))) == spans["_t"]), "left")
-    return joined.select(*[F.when(F.col("_s").isNotNull(), new).otherwise(text).alias(text_col) if c == text_col else docs[c] for c in docs.columns])
+    new = F.aggregate(F.col(s), start, put, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    joined = docs.join(spans, docs[id_col].cast("long").eqNullSafe(spans[d]) & (F.xxhash64(F.coalesce(text, F.lit(""))) == spans[t]), "left")
+    return joined.select(*[F.when(F.col(s).isNotNull(), new).otherwise(text).alias(text_col) if c == text_col else docs[c] for c in docs.columns])
