@@ -1,4 +1,4 @@
 """Every query of the library; importing this registers them."""
 
-from weftline.plans import entities, evaluation, retrieval, selection  # noqa: F401
+from weftline.plans import entities, evaluation, grids, retrieval, selection  # noqa: F401
 from weftline.registry import ORACLES, QUERIES  # noqa: F401
