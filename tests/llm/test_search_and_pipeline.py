@@ -56,6 +56,26 @@ def test_dense_lists_are_dealt_in_blocks(spark, monkeypatch):
     assert len(per) == 40 and {(r["n"], r["d"]) for r in per} == {(20, 20)}
 
 
+def recall(spark, x, list_rows, parts=3):
+    """The share of true neighbours that a search of each 20th row finds."""
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(i, v) for i, v in zip(ids.tolist(), x.tolist(), strict=True)], "vec_id long, embedding array<double>").repartition(parts)
+    got = {(r["query_id"], r["vec_id"]) for r in ann.search(df, F.col("vec_id") % 20 == 0, k=20, list_rows=list_rows).collect()}
+    want = {(q, v) for q, near, _ in brute(ids, x, 20, ids % 20 == 0) for v in near.tolist()}
+    return len(got & want) / len(want)
+
+
+def varied(n, dim, spread, seed=1):
+    """Directions without any order, lengths of log-normal ``spread``."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True) * rng.lognormal(0, spread, (n, 1))
+
+
+def test_recall_with_varied_lengths(spark):
+    assert recall(spark, varied(4000, 16, 0.5), 40) >= 0.9  # 128 lists, at most 48 of them read
+
+
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline here")
 def test_pipeline_stage_by_stage(spark):
     import corpus_pipeline

@@ -5,7 +5,7 @@ equally long. A vector near a boundary stands in several lists. The centroids ne
 are sought in a graph of centroids, held in memory; a query reads the lists whose centroid is not
 much further than the nearest one. Lists are then matched with their queries as ordinary groups, a
 long list or one with many queries in blocks. Inner products become distances by one more
-component, which makes all vectors equally long.
+component, which makes all candidates equally long; a query's is 0, and its length makes no difference.
 """
 
 from __future__ import annotations
@@ -43,6 +43,11 @@ class Graph(NamedTuple):
     def lifted(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x, np.sqrt(np.maximum(self.longest**2 - (x**2).sum(1, keepdims=True), 0))], 1)
 
+    def routed(self, x: np.ndarray) -> np.ndarray:
+        """Queries among lifted candidates: the nearest are those of largest inner product, whatever the candidates' lengths."""
+        x = x / np.abs(x).max(1, keepdims=True)
+        return np.concatenate([x * (self.longest / np.sqrt((x**2).sum(1, keepdims=True))), np.zeros((len(x), 1))], 1)
+
     def search(self, x: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
         """The nearest centroids found for each row, nearest first, and their distances: best-first search of all rows in step."""
         n, k = len(x), len(self.centroids)
@@ -154,19 +159,25 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, id_col: str = "
                 b = whole.slice(at, 1024)
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
                 ids, q = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
-                found, far = graph.search(graph.lifted(x), probes)
-                nearest, order = far[:, :1], np.arange(found.shape[1])
-                # a row needs all lists if most candidates could not fill its k
-                member = (far <= REPLICA_RATIO * nearest) & (order < REPLICAS) | (order == 0)
-                wanted = ((far <= PROBE_RATIO * nearest) | (order < LEAST_PROBES)) & q[:, None] & np.isfinite(far)
-                for role, chosen in ((False, member & np.isfinite(far)), (True, wanted)):
-                    r, c = np.nonzero(chosen)
-                    yield pa.RecordBatch.from_arrays([pa.array(found[r, c].astype(np.int32)), pa.array([role] * len(r), pa.bool_()), pa.array(ids[r]), pa.array([x[i].tobytes() for i in r], pa.binary())], ["list", "role", "id", "v"])
+                found, far = graph.search(graph.lifted(x), REPLICAS)
+                member = ((far <= REPLICA_RATIO * far[:, :1]) | (np.arange(found.shape[1]) == 0)) & np.isfinite(far)
+                yield dealt_rows(False, found, member, ids, x)
+                if q.any():
+                    ids, x = ids[q], x[q]
+                    found, far = graph.search(graph.routed(x), probes)
+                    # a row needs all lists if most candidates could not fill its k
+                    wanted = ((far <= PROBE_RATIO * far[:, :1]) | (np.arange(found.shape[1]) < LEAST_PROBES)) & np.isfinite(far)
+                    yield dealt_rows(True, found, wanted, ids, x)
 
     dealt = v.mapInArrow(assign, "list int, role boolean, id long, v binary")
     return ranked(matched(dealt, dim, k), k)
 
 
+def dealt_rows(role: bool, found: np.ndarray, chosen: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    r, c = np.nonzero(chosen)
+    return pa.RecordBatch.from_arrays([pa.array(found[r, c].astype(np.int32)), pa.array([role] * len(r), pa.bool_()), pa.array(ids[r]), pa.array([x[i].tobytes() for i in r], pa.binary())], ["list", "role", "id", "v"])
+
+
 def matched(dealt: DataFrame, dim: int, k: int) -> DataFrame:
     """The ``k`` best of each query in each block of a list: query_id, vec_id, score."""
     counts = {(r["list"], r["role"]): r["n"] for r in dealt.groupBy("list", "role").agg(F.count("*").alias("n")).collect()}
