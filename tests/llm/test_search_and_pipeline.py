@@ -76,6 +76,10 @@ def test_recall_with_varied_lengths(spark):
     assert recall(spark, varied(4000, 16, 0.5), 40) >= 0.9  # 128 lists, at most 48 of them read
 
 
+def test_recall_with_far_more_lists_than_probes(spark):
+    assert recall(spark, varied(4000, 16, 0), 20) >= 0.93  # 256 lists; within the first ratio lie about 13
+
+
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline here")
 def test_pipeline_stage_by_stage(spark):
     import corpus_pipeline

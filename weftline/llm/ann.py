@@ -3,7 +3,8 @@
 Centroids come from a bounded sample, split in halves until leaves are small, so lists are about
 equally long. A vector near a boundary stands in several lists. The centroids nearest to a vector
 are sought in a graph of centroids, held in memory; a query reads the lists whose centroid is not
-much further than the nearest one. Lists are then matched with their queries as ordinary groups, a
+much further than the nearest one. How many and how much further is measured: some queries are compared
+with all vectors, and bounds widen until enough of the true neighbours are found. Lists are then matched with their queries as ordinary groups, a
 long list or one with many queries in blocks. Inner products become distances by one more
 component, which makes all candidates equally long; a query's is 0, and its length makes no difference.
 """
@@ -25,8 +26,10 @@ LIST_ROWS = 400
 MOST_LISTS = 4096
 #: A vector joins at most so many lists, of centroids at most so many times as far as its nearest.
 REPLICAS, REPLICA_RATIO = 4, 1.12
-#: A query reads at least and at most so many lists, in between those within the ratio.
+#: A query reads at least and at most so many lists, in between those within the ratio. The latter two are where widening begins.
 LEAST_PROBES, MOST_PROBES, PROBE_RATIO = 12, 48, 1.25
+#: So many queries (those of least hash) are compared with all vectors; they must find this share of their true neighbours.
+TRIALS, RECALL = 64, 0.95
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
 NEIGHBOURS, BEAM, ENTRIES = 24, 64, 8
 FOUND = "query_id long, vec_id long, score double"
@@ -48,6 +51,17 @@ class Graph(NamedTuple):
         x = x / np.abs(x).max(1, keepdims=True)
         return np.concatenate([x * (self.longest / np.sqrt((x**2).sum(1, keepdims=True))), np.zeros((len(x), 1))], 1)
 
+    def every(self, x: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``search``, but of all centroids, for any number wanted."""
+        d = (x**2).sum(1)[:, None] - 2 * x @ self.centroids.T + (self.centroids**2).sum(1)
+        ids = np.argsort(d, 1, kind="stable")[:, :wanted]
+        return ids, np.sqrt(np.maximum(np.take_along_axis(d, ids, 1), 0))
+
+    def members(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists found for each vector, nearest first, and which of them it joins."""
+        found, far = self.search(self.lifted(x), REPLICAS)
+        return found, ((far <= REPLICA_RATIO * far[:, :1]) | (np.arange(found.shape[1]) == 0)) & np.isfinite(far)
+
     def search(self, x: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
         """The nearest centroids found for each row, nearest first, and their distances: best-first search of all rows in step."""
         n, k = len(x), len(self.centroids)
@@ -151,7 +165,8 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, id_col: str = "
     sample = np.array([r[0] for r in v.orderBy(F.xxhash64("v"), "vec_id").limit(sample_rows).select("v").collect()])
     lists = int(min(MOST_LISTS, max(1, n // list_rows), len(sample)))
     graph = build(sample, lists, float(longest))
-    probes = min(MOST_PROBES, len(graph.centroids))
+    probes, ratio = bounds(v, graph, dim, k)
+    single = vectors.schema[vector_col].dataType.elementType.typeName() == "float"  # such vectors travel as they came
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -159,26 +174,90 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, id_col: str = "
                 b = whole.slice(at, 1024)
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
                 ids, q = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
-                found, far = graph.search(graph.lifted(x), REPLICAS)
-                member = ((far <= REPLICA_RATIO * far[:, :1]) | (np.arange(found.shape[1]) == 0)) & np.isfinite(far)
-                yield dealt_rows(False, found, member, ids, x)
+                yield dealt_rows(False, *graph.members(x), ids, x, single)
                 if q.any():
                     ids, x = ids[q], x[q]
-                    found, far = graph.search(graph.routed(x), probes)
+                    found, far = graph.every(graph.routed(x), probes)
                     # a row needs all lists if most candidates could not fill its k
-                    wanted = ((far <= PROBE_RATIO * far[:, :1]) | (np.arange(found.shape[1]) < LEAST_PROBES)) & np.isfinite(far)
-                    yield dealt_rows(True, found, wanted, ids, x)
+                    wanted = (far <= ratio * np.maximum(far[:, :1], 1e-300)) | (np.arange(found.shape[1]) < LEAST_PROBES)
+                    yield dealt_rows(True, found, wanted, ids, x, single)
 
     dealt = v.mapInArrow(assign, "list int, role boolean, id long, v binary")
-    return ranked(matched(dealt, dim, k), k)
+    return ranked(matched(dealt, dim, k, single), k)
 
 
-def dealt_rows(role: bool, found: np.ndarray, chosen: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+def bounds(v: DataFrame, graph: Graph, dim: int, k: int) -> tuple[int, float]:
+    """How many lists a query reads at most, and how much further than the nearest they may be.
+
+    Some queries are compared with all vectors. The ratio widens until lists within it hold enough of
+    their true neighbours, then the number grows until lists within both do.
+    """
+    lists = len(graph.centroids)
+    asked = [] if lists <= LEAST_PROBES else v.where("q").orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIALS).select("vec_id", "v").collect()
+    if not asked:
+        return min(MOST_PROBES, lists), PROBE_RATIO
+    own, x = np.array([r["vec_id"] for r in asked]), np.array([r["v"] for r in asked])
+    order, far = graph.every(graph.routed(x), lists)
+    rows = np.arange(len(x))[:, None]
+    place, further = np.empty((len(x), lists), np.int32), np.empty((len(x), lists), np.float32)
+    place[rows, order], further[rows, order] = np.arange(lists), far / np.maximum(far[:, :1], 1e-300)
+
+    def best(ids: np.ndarray, scores: np.ndarray, *others: np.ndarray) -> list[np.ndarray]:
+        """The ``k`` of each row that score most, each id once; ids and scores are first among what is kept."""
+        at = np.lexsort((ids, -scores), 1)
+        ids, scores = np.take_along_axis(ids, at, 1), np.take_along_axis(scores, at, 1)
+        again = np.zeros(ids.shape, bool)
+        again[:, 1:] = (ids[:, 1:] == ids[:, :-1]) & (scores[:, 1:] == scores[:, :-1])
+        top = np.argsort(again, 1, kind="stable")[:, :k]
+        scores = np.where(again, -np.inf, scores)
+        return [np.take_along_axis(a, top, 1) for a in (ids, scores, *(np.take_along_axis(o, at, 1) for o in others))]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, scores, kept = np.zeros((len(x), 0), np.int64), np.zeros((len(x), 0)), np.zeros((0, dim))
+        which = np.zeros((len(x), 0), np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                y, new = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim), b.column(0).to_numpy(zero_copy_only=False)
+                s = x @ y.T
+                s[own[:, None] == new] = -np.inf
+                n = min(k, len(new))
+                top = np.argpartition(-s, n - 1, 1)[:, :n]
+                ids, scores, which = best(np.concatenate([ids, new[top]], 1), np.concatenate([scores, np.take_along_axis(s, top, 1)], 1), np.concatenate([which, top + len(kept)], 1))
+                used, which = np.unique(which, return_inverse=True)
+                kept, which = np.concatenate([kept, y])[used], which.reshape(ids.shape)
+        if not len(kept):
+            return
+        parts = [graph.members(kept[i : i + 1024]) for i in range(0, len(kept), 1024)]
+        found, member = (np.concatenate(p) for p in zip(*parts, strict=True))
+        found, member = found[which], member[which]
+        places = np.where(member, place[rows[:, :, None], found], lists)
+        first = np.take_along_axis(found, places.argmin(2)[:, :, None], 2)[:, :, 0]
+        yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (ids, scores, places.min(2).astype(np.int32), further[rows, first])], ["ids", "scores", "places", "further"])
+
+    found = v.select("vec_id", "v").mapInArrow(compare, "ids binary, scores binary, places binary, further binary").collect()
+    kinds = {"ids": np.int64, "scores": np.float64, "places": np.int32, "further": np.float32}
+    _, scores, places, further = best(*(np.concatenate([np.frombuffer(r[n], t).reshape(len(x), -1) for r in found], 1) for n, t in kinds.items()))
+    real = np.isfinite(scores)
+    places, further = places[real], further[real]
+    if not len(places):
+        return min(MOST_PROBES, lists), PROBE_RATIO
+    reached = lambda most, ratio: ((places < LEAST_PROBES) | (places < most) & (further <= ratio)).mean()
+    probes, ratio = min(MOST_PROBES, lists), PROBE_RATIO
+    while reached(lists, ratio) < (1 + RECALL) / 2:
+        ratio *= 1.05
+    while probes < lists and reached(probes, ratio) < RECALL:
+        probes = min(lists, -(-probes * 9 // 8))
+    return probes, ratio
+
+
+def dealt_rows(role: bool, found: np.ndarray, chosen: np.ndarray, ids: np.ndarray, x: np.ndarray, single: bool) -> pa.RecordBatch:
+    x = x.astype(np.float32 if single else np.float64)
     r, c = np.nonzero(chosen)
     return pa.RecordBatch.from_arrays([pa.array(found[r, c].astype(np.int32)), pa.array([role] * len(r), pa.bool_()), pa.array(ids[r]), pa.array([x[i].tobytes() for i in r], pa.binary())], ["list", "role", "id", "v"])
 
 
-def matched(dealt: DataFrame, dim: int, k: int) -> DataFrame:
+def matched(dealt: DataFrame, dim: int, k: int, single: bool = False) -> DataFrame:
     """The ``k`` best of each query in each block of a list: query_id, vec_id, score."""
     counts = {(r["list"], r["role"]): r["n"] for r in dealt.groupBy("list", "role").agg(F.count("*").alias("n")).collect()}
     most = max((i for i, _ in counts), default=-1) + 1
@@ -194,7 +273,7 @@ def matched(dealt: DataFrame, dim: int, k: int) -> DataFrame:
         ids = group["id"].to_numpy()
         c, q = np.flatnonzero(~role), np.flatnonzero(role)
         c = c[np.argsort(ids[c], kind="stable")]
-        vec = lambda at: np.frombuffer(b"".join(group["v"].to_numpy()[at]), np.float64).reshape(-1, dim)
+        vec = lambda at: np.frombuffer(b"".join(group["v"].to_numpy()[at]), np.float32 if single else np.float64).reshape(-1, dim).astype(np.float64)
         out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
         if len(c) and len(q):
             cv, cid = vec(c), ids[c]
