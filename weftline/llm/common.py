@@ -15,13 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` as the session has it.
 
-    Only where no such setting exists (a local test session) is a temporary folder made, and
-    then set as the checkpoint folder for the whole session.
+    Only in a local session without such a setting (a test) is a temporary folder made, and then set as
+    the checkpoint folder for the whole session. On a cluster the setting must be there.
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
-        found = spark.sparkContext.getCheckpointDir()
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -29,14 +32,35 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again, so that its lineage ends there.
+class Scratch:
+    """Tables kept for a while: written as Parquet in the shared folder and read again, so that lineage ends there.
 
-    The written table survives the loss of any executor.
+    A written table survives the loss of any executor. As a context manager it removes its tables at the
+    end; what is returned must not read them by then. Otherwise they stay.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        while self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again; the table stays."""
+    return Scratch(df.sparkSession)(df, name)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
