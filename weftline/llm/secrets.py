@@ -21,7 +21,8 @@ ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 6, 20, 24
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
 KEY = r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])"
-ENDPOINT = r"https?://[^\s\"'<>]+|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.amazonaws\.com"
+#: Flat classes, tried at the beginning of a run only: no recursion and no second look, however long a run is.
+ENDPOINT = r"https?://[^\s\"'<>]++|(?<![A-Za-z0-9.-])[A-Za-z0-9.-]{1,253}\.amazonaws\.com(?![A-Za-z0-9-])"
 KINDS = ("assign", "access", "hex", "key", "endpoint")
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 BLOCK = 64
@@ -76,8 +77,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sco
 
     ``scope`` is the greatest number of code points between parts of one credential. A null text
     counts as empty and has no spans; rows with a null id are scanned as well. Equal rows get equal
-    results, each its own row. Other columns are not read. Parts are joined by their row and window,
-    so a text of any length has only pairs of near parts.
+    results, each its own row. Other columns are not read. Patterns are linear in a text's length,
+    and parts are joined by their row and window, so a text of any length has only pairs of near parts.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     base = F.array_sort(F.concat(matches(F.col("text"), ASSIGN, 0, ASSIGN_VALUE, 2), matches(F.col("text"), ACCESS, 1, ACCESS_LENGTH), matches(F.col("text"), HEX, 2, HEX_LENGTH)))
@@ -89,19 +90,25 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sco
 
     own = ["doc_id", "text_key"]
     some = found.where((F.size("weak") > 0)).dropDuplicates(own)
-    weak_part = some.select(*own, F.explode("weak").alias("w"), "base").where(~F.exists("base", lambda b: (b["start"] < F.col("w.end")) & (b["end"] > F.col("w.start")))).select(*own, "w")
     part = lambda p, kinds: p.where(F.col("p.kind").isin(kinds)).select(*own, "p")
     strong = some.select(*own, F.explode("base").alias("p"))
-    window = lambda c: F.floor(F.col(f"{c}.start") / scope)
-    near = (F.greatest(F.col("w.start"), F.col("p.start")) - F.least(F.col("w.end"), F.col("p.end"))) <= scope
 
-    def backed(candidates: DataFrame, by: DataFrame) -> DataFrame:
-        """The candidates with one of ``by`` in scope; a span of more than the scope lies in several windows."""
-        left = candidates.withColumn("bin", F.explode(F.sequence(window("w") - 1, F.floor(F.col("w.end") / scope) + 1)))
-        right = by.withColumn("bin", F.explode(F.sequence(window("p"), F.floor(F.col("p.end") / scope))))
+    def near(candidates: DataFrame, by: DataFrame, most: int) -> DataFrame:
+        """The candidates with one of ``by`` at most so many code points away (below 0: overlapping), by windows; a long span lies in several."""
+        first = lambda c, more: F.floor((F.col(f"{c}.start") - more) / scope)
+        last = lambda c, more: F.floor((F.col(f"{c}.end") + more) / scope)
+        left = candidates.withColumn("bin", F.explode(F.sequence(first("w", max(most, 0)), last("w", max(most, 0)))))
+        right = by.withColumn("bin", F.explode(F.sequence(first("p", 0), last("p", 0))))
+        apart = F.greatest(F.col("w.start"), F.col("p.start")) - F.least(F.col("w.end"), F.col("p.end"))
         keys = [left[k].eqNullSafe(right[k]) for k in own] + [left["bin"] == right["bin"]]
-        return left.join(right, [*keys, near], "left_semi").select(*own, "w").distinct()
+        return left.join(right, [*keys, apart <= most], "left_semi").select(*own, "w").distinct()
+
+    def backed(candidates: DataFrame, by: DataFrame) -> DataFrame:
+        return near(candidates, by, scope)
 
+    every = some.select(*own, F.explode("weak").alias("w"))
+    taken = near(every, strong, -1).select(*[F.col(c).alias(f"its_{c}") for c in [*own, "w"]])
+    weak_part = every.join(taken, [every[c].eqNullSafe(taken[f"its_{c}"]) for c in [*own, "w"]], "left_anti")
     access = part(strong, [1])
     keys = backed(weak_part.where("w.kind = 3"), access)
     secrets = part(strong, [0, 2]).unionByName(keys.select(*own, F.col("w").alias("p")))
