@@ -4,8 +4,9 @@ Centroids come from a bounded sample, split in halves until leaves are small, so
 equally long. A vector near a boundary stands in several lists. The centroids nearest to a vector
 are sought in a graph of centroids, held in memory; a query reads the lists whose centroid is not
 much further than the nearest one. How many and how much further is measured: some queries are compared
-with all vectors, and bounds widen until enough of the true neighbours are found. Lists are then matched with their queries as ordinary groups, a
-long list or one with many queries in blocks. Inner products become distances by one more
+with all vectors, and of the bounds by which enough of their true neighbours are found, those that
+read least are taken. Lists are then matched with their queries as ordinary groups, a long list or one
+with many queries in blocks. Of equal vectors no more than could be found go on. Inner products become distances by one more
 component, which makes all candidates equally long; a query's is 0, and its length makes no difference.
 """
 
@@ -20,18 +21,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The most vectors that fitting uses (those of least hash), the wanted list length and the most lists.
-SAMPLE_ROWS = 20_000
-LIST_ROWS = 400
-MOST_LISTS = 4096
+from weftline.llm.common import kept
+
+#: The most vectors that fitting uses (those of least hash), the wanted list length, and sample vectors a list at least.
+SAMPLE_ROWS, LIST_ROWS, SAMPLE_A_LIST = 20_000, 400, 5
 #: A vector joins at most so many lists, of centroids at most so many times as far as its nearest.
-REPLICAS, REPLICA_RATIO = 4, 1.12
-#: A query reads at least and at most so many lists, in between those within the ratio. The latter two are where widening begins.
-LEAST_PROBES, MOST_PROBES, PROBE_RATIO = 12, 48, 1.25
+REPLICAS, REPLICA_RATIO = 2, 1.06
 #: So many queries (those of least hash) are compared with all vectors; they must find this share of their true neighbours.
 TRIALS, RECALL = 64, 0.95
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
-NEIGHBOURS, BEAM, ENTRIES = 24, 64, 8
+NEIGHBOURS, BEAM, ENTRIES = 16, 12, 32
+#: Inner products by matrix multiplication are off by less than this, of the product of lengths.
+SLACK = 1e-11
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -51,50 +52,44 @@ class Graph(NamedTuple):
         x = x / np.abs(x).max(1, keepdims=True)
         return np.concatenate([x * (self.longest / np.sqrt((x**2).sum(1, keepdims=True))), np.zeros((len(x), 1))], 1)
 
-    def every(self, x: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
-        """As ``search``, but of all centroids, for any number wanted."""
-        d = (x**2).sum(1)[:, None] - 2 * x @ self.centroids.T + (self.centroids**2).sum(1)
-        ids = np.argsort(d, 1, kind="stable")[:, :wanted]
-        return ids, np.sqrt(np.maximum(np.take_along_axis(d, ids, 1), 0))
-
     def members(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lists found for each vector, nearest first, and which of them it joins."""
         found, far = self.search(self.lifted(x), REPLICAS)
         return found, ((far <= REPLICA_RATIO * far[:, :1]) | (np.arange(found.shape[1]) == 0)) & np.isfinite(far)
 
     def search(self, x: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest centroids found for each row, nearest first, and their distances: best-first search of all rows in step."""
+        """The nearest centroids found for each row, nearest first, and their distances.
+
+        All rows go best-first and in step, from the entries on; a row is done when none of its
+        nearest centroids has neighbours left to look at.
+        """
         n, k = len(x), len(self.centroids)
-        beam = min(k, max(BEAM, wanted))
-        ids = np.full((n, beam), -1)
-        far = np.full((n, beam), np.inf)
-        open_ = np.zeros((n, beam), bool)
+        wanted = min(wanted, k)
+        beam = min(k, max(BEAM, wanted + wanted // 4))
+        squares, own = (self.centroids**2).sum(1), (x**2).sum(1)
         seen = np.zeros((n, k), bool)
-        rows = np.arange(n)[:, None]
-
-        def add(new: np.ndarray) -> None:
-            nonlocal ids, far, open_
-            fresh = ~seen[rows, new]
-            seen[rows, new] = True
-            d = np.sqrt(np.maximum(((x[:, None, :] - self.centroids[new]) ** 2).sum(2), 0))
-            d[~fresh] = np.inf
-            every = np.concatenate([far, d], 1)
-            top = np.argsort(every, 1, kind="stable")[:, :beam]
-            far = np.take_along_axis(every, top, 1)
-            ids = np.take_along_axis(np.concatenate([ids, new], 1), top, 1)
-            open_ = np.take_along_axis(np.concatenate([open_, fresh], 1), top, 1)
-
-        add(np.broadcast_to(self.entries, (n, len(self.entries))).copy())
-        for _ in range(4 * beam):
-            if not open_.any():
-                break
-            at = np.argmax(open_, 1)
-            todo = open_[np.arange(n), at]
-            open_[np.arange(n), at] = False
-            step = self.near[np.maximum(ids[np.arange(n), at], 0)].copy()
-            step[~todo] = ids[~todo, :1]
-            add(step)
-        return ids[:, :wanted], far[:, :wanted]
+        seen[:, self.entries] = True
+        ids = np.broadcast_to(self.entries, (n, len(self.entries)))
+        far = squares[self.entries] - 2 * x @ self.centroids[self.entries].T
+        open_ = np.ones(ids.shape, bool)
+
+        def best(rows: np.ndarray, ids: np.ndarray, far: np.ndarray, open_: np.ndarray) -> None:
+            top = np.argsort(far, 1, kind="stable")[:, :beam]
+            for whole, part in zip(state, (ids, far, open_), strict=True):
+                whole[rows, : top.shape[1]] = np.take_along_axis(part, top, 1)
+
+        state = np.full((n, beam), -1), np.full((n, beam), np.inf), np.zeros((n, beam), bool)
+        best(np.arange(n), ids, far, open_)
+        ids, far, open_ = state
+        while len(rows := np.flatnonzero((open_ & np.isfinite(far)).any(1))):
+            at = np.argmax(open_[rows] & np.isfinite(far[rows]), 1)
+            open_[rows, at] = False
+            new = self.near[ids[rows, at]]
+            fresh = ~seen[rows[:, None], new]
+            seen[rows[:, None], new] = True
+            d = np.where(fresh, squares[new] - 2 * np.einsum("nd,nkd->nk", x[rows], self.centroids[new]), np.inf)
+            best(rows, np.concatenate([ids[rows], new], 1), np.concatenate([far[rows], d], 1), np.concatenate([open_[rows], fresh], 1))
+        return ids[:, :wanted], np.sqrt(np.maximum(far[:, :wanted] + own[:, None], 0))
 
 
 def halves(x: np.ndarray, leaf: int, seed: int = 7) -> np.ndarray:
@@ -132,7 +127,7 @@ def build(sample: np.ndarray, lists: int, longest: float, rounds: int = 4) -> Gr
         np.add.at(sums, own, x)
         centroids = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centroids)
     d = (centroids**2).sum(1)[:, None] - 2 * centroids @ centroids.T + (centroids**2).sum(1)
-    near = np.argsort(d, 1, kind="stable")[:, 1 : NEIGHBOURS + 1] if len(centroids) > 1 else np.zeros((1, 1), int)
+    near = np.argsort(d, 1, kind="stable")[:, 1 : NEIGHBOURS + 1] if len(centroids) > 1 else np.zeros((1, 0), int)
     far_apart = [0]
     while len(far_apart) < min(ENTRIES, len(centroids)):
         far_apart.append(int(d[far_apart].min(0).argmax()))
@@ -146,58 +141,80 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, lambda v: F.coalesce(number(v), F.lit(False))) & F.exists(vector, lambda v: v != 0)
 
 
-def search(vectors: DataFrame, is_query: Column, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = SAMPLE_ROWS, list_rows: int = LIST_ROWS, recall: float = RECALL) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's ``k`` nearest found, by largest inner product.
 
-    Queries are rows for which ``is_query`` holds; candidates all rows of other ids. A query with
-    fewer candidates than ``k`` gets all of them. Ties go to the smaller id. Scores are sums of
+    Queries are rows for which ``is_query`` holds; candidates all rows of other ids and the same number of
+    components, of whatever length. A query with fewer candidates than ``k`` gets all of them. Ties go to the smaller id. Scores are sums of
     products in double precision, always in the same order, so equal vectors score equally. Rows of
-    null id, and vectors that are null, zero, or hold null or non-finite components, take no part;
-    nor do vectors of another length than most. Repeated rows count once. Other columns are not read.
+    null id, and vectors that are null, zero, or hold null or non-finite components, take no part.
+    Repeated rows count once. Other columns are not read. There are no more lists than a fifth of
+    ``sample_rows``; beyond that lists grow longer, and a longer sample keeps them short. ``recall``
+    is what the trial queries must reach; at 1 all lists that hold true neighbours of theirs are within bounds.
     """
     v = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     v = v.where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    sizes = v.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("longest")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    if not sizes:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n, longest = sizes[0]
-    v = v.where(F.size("v") == dim)
+    longest = F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
+    sizes = v.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), longest.alias("longest"), F.max("q").alias("asked")).where("asked").orderBy("dim").collect()
+    single = vectors.schema[vector_col].dataType.elementType.typeName() == "float"  # such vectors travel as they came
+    found = vectors.sparkSession.createDataFrame([], FOUND)
+    for size in sizes:
+        found = found.unionByName(of_one_size(v.where(F.size("v") == size["dim"]), size["dim"], size["n"], size["longest"], k, sample_rows, list_rows, recall, single))
+    return ranked(found, k)
+
+
+def of_one_size(v: DataFrame, dim: int, n: int, longest: float, k: int, sample_rows: int, list_rows: int, recall: float, single: bool) -> DataFrame:
+    """query_id, vec_id, score: the best of each query in each list that it reads."""
     sample = np.array([r[0] for r in v.orderBy(F.xxhash64("v"), "vec_id").limit(sample_rows).select("v").collect()])
-    lists = int(min(MOST_LISTS, max(1, n // list_rows), len(sample)))
+    lists = int(max(1, min(n // list_rows, len(sample) // SAMPLE_A_LIST)))
     graph = build(sample, lists, float(longest))
-    probes, ratio = bounds(v, graph, dim, k)
-    single = vectors.schema[vector_col].dataType.elementType.typeName() == "float"  # such vectors travel as they came
+    probes, ratio = bounds(v, graph, dim, k, recall)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
+            for at in range(0, whole.num_rows, 2048):
+                b = whole.slice(at, 2048)
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
                 ids, q = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
-                yield dealt_rows(False, *graph.members(x), ids, x, single)
+                few = fewest(ids, x, k)
+                yield dealt_rows(False, *graph.members(x[few]), ids[few], x[few], single)
                 if q.any():
                     ids, x = ids[q], x[q]
-                    found, far = graph.every(graph.routed(x), probes)
-                    # a row needs all lists if most candidates could not fill its k
-                    wanted = (far <= ratio * np.maximum(far[:, :1], 1e-300)) | (np.arange(found.shape[1]) < LEAST_PROBES)
+                    found, far = graph.search(graph.routed(x), probes)
+                    wanted = ((far <= ratio * np.maximum(far[:, :1], 1e-300)) | (np.arange(found.shape[1]) < least_probes(k, list_rows))) & np.isfinite(far)
                     yield dealt_rows(True, found, wanted, ids, x, single)
 
-    dealt = v.mapInArrow(assign, "list int, role boolean, id long, v binary")
-    return ranked(matched(dealt, dim, k, single), k)
+    dealt = kept(v.mapInArrow(assign, "list int, role boolean, id long, v binary"), "lists")
+    return matched(dealt, dim, k, single)
+
+
+def least_probes(k: int, list_rows: int) -> int:
+    """Lists that every query reads, so that candidates fill its ``k``."""
+    return 4 + 4 * k // list_rows
 
 
-def bounds(v: DataFrame, graph: Graph, dim: int, k: int) -> tuple[int, float]:
+def fewest(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows without those of equal vectors that have ``k`` and one more of smaller id."""
+    order = np.argsort(ids, kind="stable")
+    same = np.unique(np.ascontiguousarray(x + 0.0).view(f"V{x.shape[1] * 8}").ravel(), return_inverse=True)[1][order]
+    by = np.argsort(same, kind="stable")
+    start = np.flatnonzero(np.concatenate([[True], same[by][1:] != same[by][:-1]]))
+    place = np.arange(len(by)) - np.repeat(start, np.diff(np.append(start, len(by))))
+    return np.sort(order[by[place <= k]])
+
+
+def bounds(v: DataFrame, graph: Graph, dim: int, k: int, recall: float) -> tuple[int, float]:
     """How many lists a query reads at most, and how much further than the nearest they may be.
 
-    Some queries are compared with all vectors. The ratio widens until lists within it hold enough of
-    their true neighbours, then the number grows until lists within both do.
+    Some queries are compared with all vectors. Of the pairs of bounds within which enough of their true
+    neighbours are found, that counts by which these queries read the fewest lists.
     """
     lists = len(graph.centroids)
-    asked = [] if lists <= LEAST_PROBES else v.where("q").orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIALS).select("vec_id", "v").collect()
+    asked = [] if lists <= 4 else v.where("q").orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIALS).select("vec_id", "v").collect()
     if not asked:
-        return min(MOST_PROBES, lists), PROBE_RATIO
+        return lists, float("inf")
     own, x = np.array([r["vec_id"] for r in asked]), np.array([r["v"] for r in asked])
-    order, far = graph.every(graph.routed(x), lists)
+    order, far = graph.search(graph.routed(x), lists)
     rows = np.arange(len(x))[:, None]
     place, further = np.empty((len(x), lists), np.int32), np.empty((len(x), lists), np.float32)
     place[rows, order], further[rows, order] = np.arange(lists), far / np.maximum(far[:, :1], 1e-300)
@@ -241,14 +258,16 @@ def bounds(v: DataFrame, graph: Graph, dim: int, k: int) -> tuple[int, float]:
     real = np.isfinite(scores)
     places, further = places[real], further[real]
     if not len(places):
-        return min(MOST_PROBES, lists), PROBE_RATIO
-    reached = lambda most, ratio: ((places < LEAST_PROBES) | (places < most) & (further <= ratio)).mean()
-    probes, ratio = min(MOST_PROBES, lists), PROBE_RATIO
-    while reached(lists, ratio) < (1 + RECALL) / 2:
-        ratio *= 1.05
-    while probes < lists and reached(probes, ratio) < RECALL:
-        probes = min(lists, -(-probes * 9 // 8))
-    return probes, ratio
+        return lists, float("inf")
+    every = far / np.maximum(far[:, :1], 1e-300)
+    choices = []
+    for ratio in [*np.quantile(further, np.linspace(recall, 1, 12)), np.inf]:
+        held = np.sort(places[(further <= ratio) & (places < lists)])
+        need = int(np.ceil(recall * len(places)))
+        if len(held) >= need:
+            probes = int(held[need - 1]) + 1
+            choices.append(((every[:, :probes] <= ratio).sum(), probes, float(ratio)))
+    return min(choices)[1:] if choices else (lists, float("inf"))
 
 
 def dealt_rows(role: bool, found: np.ndarray, chosen: np.ndarray, ids: np.ndarray, x: np.ndarray, single: bool) -> pa.RecordBatch:
@@ -269,26 +288,30 @@ def matched(dealt: DataFrame, dim: int, k: int, single: bool = False) -> DataFra
     cells = cells.select("list", F.when(F.col("role"), F.col("own")).otherwise(F.col("other")).alias("qb"), F.when(F.col("role"), F.col("other")).otherwise(F.col("own")).alias("cb"), "role", "id", "v")
 
     def best(group: pd.DataFrame) -> pd.DataFrame:
-        role = group["role"].to_numpy()
-        ids = group["id"].to_numpy()
-        c, q = np.flatnonzero(~role), np.flatnonzero(role)
-        c = c[np.argsort(ids[c], kind="stable")]
-        vec = lambda at: np.frombuffer(b"".join(group["v"].to_numpy()[at]), np.float32 if single else np.float64).reshape(-1, dim).astype(np.float64)
+        role, ids = group["role"].to_numpy(bool), group["id"].to_numpy()
+        vectors = np.frombuffer(b"".join(group["v"]), np.float32 if single else np.float64).reshape(-1, dim).astype(np.float64)
         out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        c, q = np.flatnonzero(~role), np.flatnonzero(role)
+        _, once = np.unique(ids[c], return_index=True)
+        c = c[once]
         if len(c) and len(q):
-            cv, cid = vec(c), ids[c]
-            for i, x in zip(ids[q], vec(q), strict=True):
-                s = (cv * x).sum(1)
-                s[cid == i] = -np.inf
-                if len(s) > 4 * k:
-                    at = np.flatnonzero(s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1])
-                else:
-                    at = np.arange(len(s))
-                at = at[np.argsort(-s[at], kind="stable")]
-                at = at[np.isfinite(s[at])]
-                _, once = np.unique(cid[at], return_index=True)
-                at = at[np.sort(once)][:k]
-                out.append((np.full(len(at), i), cid[at], s[at]))
+            c = c[fewest(ids[c], vectors[c], k)]
+            cv, cid = vectors[c], ids[c]
+            long_ = np.sqrt((cv**2).sum(1)).max()
+            for at in range(0, len(q), 256):
+                x, own = vectors[q[at : at + 256]], ids[q[at : at + 256]]
+                s = x @ cv.T
+                s[own[:, None] == cid] = -np.inf
+                n = min(k, len(cid))
+                # all that rounding could bring among the first k, then exact scores of these
+                last = np.partition(s, len(cid) - n, 1)[:, len(cid) - n] - SLACK * long_ * np.sqrt((x**2).sum(1))
+                i, j = np.nonzero((s >= last[:, None]) & np.isfinite(s))
+                exact = (x[i] * cv[j]).sum(1)
+                o = np.lexsort((cid[j], -exact, i))
+                i, j, exact = i[o], j[o], exact[o]
+                start = np.searchsorted(i, np.arange(len(own)))
+                top = np.arange(len(i)) - start[i] < k
+                out.append((own[i[top]], cid[j[top]], exact[top]))
         return pd.DataFrame({n: np.concatenate(x) for n, x in zip(("query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
 
     return cells.groupBy("list", "qb", "cb").applyInPandas(best, FOUND)
