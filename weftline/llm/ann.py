@@ -6,7 +6,8 @@ are sought in a graph of centroids, held in memory; a query reads the lists whos
 much further than the nearest one. How many and how much further is measured: some queries are compared
 with all vectors, and of the bounds by which enough of their true neighbours are found, those that
 read least are taken. Lists are then matched with their queries as ordinary groups, a long list or one
-with many queries in blocks. Of equal vectors no more than could be found go on. Inner products become distances by one more
+with many queries in blocks. Of equal vectors no more than could be found go on, and of what a list
+holds only what scores no less than the query's k-th best of the sample. Inner products become distances by one more
 component, which makes all candidates equally long; a query's is 0, and its length makes no difference.
 """
 
@@ -31,6 +32,8 @@ REPLICAS, REPLICA_RATIO = 2, 1.06
 TRIALS, RECALL = 64, 0.95
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
 NEIGHBOURS, BEAM, ENTRIES = 16, 12, 32
+#: Bytes of the sample that queries are scored against to learn the least score that can count.
+FLOOR_BYTES = 8 << 20
 #: Inner products by matrix multiplication are off by less than this, of the product of lengths.
 SLACK = 1e-11
 FOUND = "query_id long, vec_id long, score double"
@@ -165,10 +168,22 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, id_col: str = "
 
 def of_one_size(v: DataFrame, dim: int, n: int, longest: float, k: int, sample_rows: int, list_rows: int, recall: float, single: bool) -> DataFrame:
     """query_id, vec_id, score: the best of each query in each list that it reads."""
-    sample = np.array([r[0] for r in v.orderBy(F.xxhash64("v"), "vec_id").limit(sample_rows).select("v").collect()])
+    rows = v.orderBy(F.xxhash64("v"), "vec_id").limit(sample_rows).select("vec_id", "v").collect()
+    sample, sample_ids = np.array([r["v"] for r in rows]), np.array([r["vec_id"] for r in rows])
     lists = int(max(1, min(n // list_rows, len(sample) // SAMPLE_A_LIST)))
     graph = build(sample, lists, float(longest))
     probes, ratio = bounds(v, graph, dim, k, recall)
+    some_ids, first = np.unique(sample_ids, return_index=True)
+    first = np.sort(first)[: FLOOR_BYTES // (8 * dim)]
+    some_ids, some = sample_ids[first], sample[first]
+
+    def floors(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Of each query, the k-th best score among the sample's others: no candidate below it can be among its k."""
+        if len(some) <= k:
+            return np.full(len(x), -np.inf)
+        s = x @ some.T
+        s[ids[:, None] == some_ids] = -np.inf
+        return np.partition(s, len(some) - k, 1)[:, len(some) - k]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -177,15 +192,15 @@ def of_one_size(v: DataFrame, dim: int, n: int, longest: float, k: int, sample_r
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
                 ids, q = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
                 few = fewest(ids, x, k)
-                yield dealt_rows(False, *graph.members(x[few]), ids[few], x[few], single)
+                yield dealt_rows(False, *graph.members(x[few]), ids[few], x[few], np.zeros(len(few)), single)
                 if q.any():
                     ids, x = ids[q], x[q]
                     found, far = graph.search(graph.routed(x), probes)
                     wanted = ((far <= ratio * np.maximum(far[:, :1], 1e-300)) | (np.arange(found.shape[1]) < least_probes(k, list_rows))) & np.isfinite(far)
-                    yield dealt_rows(True, found, wanted, ids, x, single)
+                    yield dealt_rows(True, found, wanted, ids, x, floors(ids, x), single)
 
-    dealt = kept(v.mapInArrow(assign, "list int, role boolean, id long, v binary"), "lists")
-    return matched(dealt, dim, k, single)
+    dealt = kept(v.mapInArrow(assign, "list int, role boolean, id long, v binary, floor double"), "lists")
+    return matched(dealt, dim, k, float(longest), single)
 
 
 def least_probes(k: int, list_rows: int) -> int:
@@ -270,13 +285,13 @@ def bounds(v: DataFrame, graph: Graph, dim: int, k: int, recall: float) -> tuple
     return min(choices)[1:] if choices else (lists, float("inf"))
 
 
-def dealt_rows(role: bool, found: np.ndarray, chosen: np.ndarray, ids: np.ndarray, x: np.ndarray, single: bool) -> pa.RecordBatch:
+def dealt_rows(role: bool, found: np.ndarray, chosen: np.ndarray, ids: np.ndarray, x: np.ndarray, floor: np.ndarray, single: bool) -> pa.RecordBatch:
     x = x.astype(np.float32 if single else np.float64)
     r, c = np.nonzero(chosen)
-    return pa.RecordBatch.from_arrays([pa.array(found[r, c].astype(np.int32)), pa.array([role] * len(r), pa.bool_()), pa.array(ids[r]), pa.array([x[i].tobytes() for i in r], pa.binary())], ["list", "role", "id", "v"])
+    return pa.RecordBatch.from_arrays([pa.array(found[r, c].astype(np.int32)), pa.array([role] * len(r), pa.bool_()), pa.array(ids[r]), pa.array([x[i].tobytes() for i in r], pa.binary()), pa.array(floor[r])], ["list", "role", "id", "v", "floor"])
 
 
-def matched(dealt: DataFrame, dim: int, k: int, single: bool = False) -> DataFrame:
+def matched(dealt: DataFrame, dim: int, k: int, longest: float, single: bool = False) -> DataFrame:
     """The ``k`` best of each query in each block of a list: query_id, vec_id, score."""
     counts = {(r["list"], r["role"]): r["n"] for r in dealt.groupBy("list", "role").agg(F.count("*").alias("n")).collect()}
     most = max((i for i, _ in counts), default=-1) + 1
@@ -285,26 +300,26 @@ def matched(dealt: DataFrame, dim: int, k: int, single: bool = False) -> DataFra
     own = F.pmod(F.xxhash64("id"), F.when(F.col("role"), by(True, BLOCK_QUERIES)).otherwise(by(False, BLOCK_ROWS)))
     others = F.explode(F.sequence(F.lit(0), F.when(F.col("role"), by(False, BLOCK_ROWS)).otherwise(by(True, BLOCK_QUERIES)) - 1))
     cells = dealt.withColumn("own", own.cast("int")).select("*", others.alias("other"))
-    cells = cells.select("list", F.when(F.col("role"), F.col("own")).otherwise(F.col("other")).alias("qb"), F.when(F.col("role"), F.col("other")).otherwise(F.col("own")).alias("cb"), "role", "id", "v")
+    cells = cells.select("list", F.when(F.col("role"), F.col("own")).otherwise(F.col("other")).alias("qb"), F.when(F.col("role"), F.col("other")).otherwise(F.col("own")).alias("cb"), "role", "id", "v", "floor")
 
     def best(group: pd.DataFrame) -> pd.DataFrame:
         role, ids = group["role"].to_numpy(bool), group["id"].to_numpy()
         vectors = np.frombuffer(b"".join(group["v"]), np.float32 if single else np.float64).reshape(-1, dim).astype(np.float64)
         out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        floor = group["floor"].to_numpy()
         c, q = np.flatnonzero(~role), np.flatnonzero(role)
         _, once = np.unique(ids[c], return_index=True)
         c = c[once]
         if len(c) and len(q):
             c = c[fewest(ids[c], vectors[c], k)]
             cv, cid = vectors[c], ids[c]
-            long_ = np.sqrt((cv**2).sum(1)).max()
             for at in range(0, len(q), 256):
                 x, own = vectors[q[at : at + 256]], ids[q[at : at + 256]]
                 s = x @ cv.T
                 s[own[:, None] == cid] = -np.inf
                 n = min(k, len(cid))
                 # all that rounding could bring among the first k, then exact scores of these
-                last = np.partition(s, len(cid) - n, 1)[:, len(cid) - n] - SLACK * long_ * np.sqrt((x**2).sum(1))
+                last = np.maximum(np.partition(s, len(cid) - n, 1)[:, len(cid) - n], floor[q[at : at + 256]]) - SLACK * longest * np.sqrt((x**2).sum(1))
                 i, j = np.nonzero((s >= last[:, None]) & np.isfinite(s))
                 exact = (x[i] * cv[j]).sum(1)
                 o = np.lexsort((cid[j], -exact, i))
