@@ -7,7 +7,7 @@ much further than the nearest one. How many and how much further is measured: so
 with all vectors, and of the bounds by which enough of their true neighbours are found, those that
 read least are taken. Lists are then matched with their queries as ordinary groups, a long list or one
 with many queries in blocks. Of equal vectors no more than could be found go on, and of what a list
-holds only what scores no less than the query's k-th best of the sample. Inner products become distances by one more
+holds only what scores no less than the query's k-th best of the sample, whose k best are found already. Inner products become distances by one more
 component, which makes all candidates equally long; a query's is 0, and its length makes no difference.
 """
 
@@ -175,6 +175,7 @@ def of_one_size(v: DataFrame, dim: int, n: int, longest: float, k: int, sample_r
     probes, ratio = bounds(v, graph, dim, k, recall)
     some_ids, first = np.unique(sample_ids, return_index=True)
     first = np.sort(first)[: FLOOR_BYTES // (8 * dim)]
+    first = first[fewest(sample_ids[first], sample[first], k)]
     some_ids, some = sample_ids[first], sample[first]
 
     def floors(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -200,7 +201,17 @@ def of_one_size(v: DataFrame, dim: int, n: int, longest: float, k: int, sample_r
                     yield dealt_rows(True, found, wanted, ids, x, floors(ids, x), single)
 
     dealt = kept(v.mapInArrow(assign, "list int, role boolean, id long, v binary, floor double"), "lists")
-    return matched(dealt, dim, k, float(longest), single)
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                x, ids = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim), b.column(0).to_numpy(zero_copy_only=False)
+                s = x @ some.T
+                s[ids[:, None] == some_ids] = -np.inf
+                i, j = np.nonzero((s >= (floors(ids, x) - SLACK * float(longest) * np.sqrt((x**2).sum(1)))[:, None]) & np.isfinite(s))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(some_ids[j]), pa.array((x[i] * some[j]).sum(1))], ["query_id", "vec_id", "score"])
+
+    return matched(dealt, dim, k, float(longest), single).unionByName(v.where("q").select("vec_id", "v").mapInArrow(sampled, FOUND))
 
 
 def least_probes(k: int, list_rows: int) -> int:
