@@ -30,6 +30,8 @@ SPACE = "".join(map(chr, SPACE_POINTS))
 ODD_SPACE = "".join(map(chr, (*(c for c in SPACE_POINTS if c not in (10, 32)), 0x1C, 0x1D, 0x1E, 0x1F)))
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 CACHE_ENTRIES = 400_000
+#: Fixed value: the splitting pattern for which texts may be cut into chunks, and those shortened. Texts go whole through any other.
+CHUNKED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -249,7 +251,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
 
     Returns doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (binary, little-endian
     unsigned 32-bit): a row per input row, null ids and repeated rows included. A null text counts as
-    empty; no ids give the digests of empty strings. Other columns are not read.
+    empty; no ids give the digests of empty strings. Texts go whole, however long. Other columns are not read.
     """
     kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
 
@@ -261,7 +263,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
                 part = whole.slice(at, 1024)
                 packed, counts, shas, decoded = [], [], [], []
                 for text in part.column(1).to_pylist():
-                    first, *more = chunks(text or "")
+                    first, *more = chunks(text or "") if pattern == CHUNKED else [text or ""]
                     raw = b"".join([bpe.packed(first), *map(cache.__getitem__, more)])
                     ids = np.frombuffer(raw, "<u4").tolist()
                     packed.append(raw)

@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+#: Text, in bytes, that a task takes out of Arrow's memory at a time.
+SLICE_BYTES = 2 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -63,6 +70,17 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return Scratch(df.sparkSession)(df, name)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Parts of batches whose texts together are of bounded length (one text at least)."""
+    for whole in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(whole.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < whole.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+            yield whole.slice(at, end - at)
+            at = end
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with as many underscores before it as it takes to be no column of ``df``."""
     taken = {c.lower() for c in df.columns}

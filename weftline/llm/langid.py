@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import slices
 from weftline.llm.quality import held_out
 
 #: The most documents of a language that fitting reads (those of least hash), and the table of n-gram scores.
@@ -25,6 +26,8 @@ CELLS = 1 << 16
 SWITCH = 8.0
 UNKNOWN = "und"
 CACHE_WORDS = 400_000
+#: A dirty column may name any number of languages; each costs a table of ``CELLS`` numbers.
+MOST_LANGS = 200
 WORD = re.compile(r"[^\W\d_]+")
 #: First and last code points of scripts' main blocks.
 SCRIPTS = (
@@ -73,7 +76,7 @@ def counted(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
-        for b in batches:
+        for b in slices(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen.setdefault(lang, Counter()).update(WORD.findall((text or "").lower()))
         for lang, words in seen.items():
@@ -90,14 +93,15 @@ def counted(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataF
     return docs.select(docs[lang_col].cast("string"), docs[text_col].cast("string")).mapInArrow(run, "lang string, cell long, n double")
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, parts: int = 3, part: int = 1) -> Model:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, most_langs: int = MOST_LANGS, parts: int = 3, part: int = 1) -> Model:
     """Fits on whole texts of documents that have a language and aren't held out.
 
     Of each language, about ``sample_docs`` documents: a share of the hash range, set by its count.
-    To the driver goes a table of ``CELLS`` counts per language.
+    To the driver goes a table of ``CELLS`` counts per language, of at most ``most_langs`` languages: those of most documents,
+    of equals those first in alphabetical order. Repeated rows count as often as they are there.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col), parts, part))
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most_langs).collect()}
     if not sizes:
         return Model([], np.zeros((CELLS, 0)), np.zeros((len(SCRIPT_NAMES), 0)))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample_docs / n))])
@@ -170,6 +174,12 @@ def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
     return out
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text, in lower case; as many as there are in the text as it is, where lower case is longer too."""
+    low = text.lower()
+    return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
+
+
 def labelled(texts: list[str | None], model: Model, words: WordScores, switch: float) -> Iterator[tuple[list[re.Match] | list[str], np.ndarray]]:
     """The words of each text, in lower case, and their labels; a group of texts of about equal work at a time."""
     at = 0
@@ -178,7 +188,7 @@ def labelled(texts: list[str | None], model: Model, words: WordScores, switch: f
         while end < len(texts) and (room > 0 or end == at):
             room -= len(texts[end] or "") + 1
             end += 1
-        found = [WORD.findall((t or "").lower()) for t in texts[at:end]]
+        found = [words_of(t or "") for t in texts[at:end]]
         yield from zip(found, viterbi([words.rows[r] for r in words.of(found)], switch), strict=True)
         at = end
 
@@ -193,7 +203,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, n = WordScores(model), len(model.langs)
-        for b in batches:
+        for b in slices(batches):
             langs, scores, switches = [], [], []
             for found, label in labelled(b.column(1).to_pylist(), model, words, switch):
                 if not found or not n:
@@ -211,16 +221,20 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 
 def spans(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH) -> DataFrame:
-    """doc_id, start, end (code points, end exclusive) and lang of each longest run of words of one language."""
+    """doc_id, start, end (code points, end exclusive) and lang of each longest run of words of one language.
+
+    Texts that are null or have no letters have no rows, nor has any if no language was learned; repeated rows and null
+    ids have their own. Texts are taken whole. Other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordScores(model)
-        for b in batches:
+        for b in slices(batches):
             rows = []
             texts = b.column(1).to_pylist()
             for doc_id, text, (found, label) in zip(b.column(0).to_pylist(), texts, labelled(texts, model, words, switch), strict=True):
                 places = [m.span() for m in WORD.finditer(text or "")]
-                if len(places) != len(found) or not model.langs:
+                if not model.langs:
                     continue
                 for k in [i for i in range(len(label)) if not i or label[i] != label[i - 1]]:
                     last = next((i for i in range(k + 1, len(label)) if label[i] != label[k]), len(label)) - 1
@@ -232,12 +246,15 @@ def spans(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 
 def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text", switch: float = SWITCH, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, in one learned language for at least the share ``least`` of their letters."""
+    """The rows of ``docs``, all columns, in one learned language for at least the share ``least`` of their letters.
+
+    Null texts and texts without letters go, as do all if no language was learned; repeated rows and null ids are judged like any other.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, n = WordScores(model), len(model.langs)
-        for b in batches:
+        for b in slices(batches, at):
             good = []
             for found, label in labelled(b.column(at).to_pylist(), model, words, switch):
                 letters = np.bincount(label, np.fromiter(map(len, found), float, len(found)), n) if found and n else np.zeros(1)

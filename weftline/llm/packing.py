@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.bpe import Chunks, chunks
+from weftline.llm.bpe import CHUNKED, Chunks, chunks
 from weftline.llm.common import kept
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -53,7 +53,7 @@ class ByteLevelFile:
         self.marks = [t.content for t in self.own.get_added_tokens_decoder().values()]
         before, letters = spec["pre_tokenizer"] or {}, byte_letters()
         ranks = {bytes(letters[c] for c in k): v for k, v in self.own.get_vocab(with_added_tokens=False).items() if k not in self.marks} if before.get("type") == "ByteLevel" else {}
-        plain = ranks and spec["model"]["type"] == "BPE" and not spec["normalizer"] and not before["add_prefix_space"] and before["use_regex"]
+        plain = pattern == CHUNKED and ranks and spec["model"]["type"] == "BPE" and not spec["normalizer"] and not before["add_prefix_space"] and before["use_regex"]
         self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) if plain else None
         code = self.kind.char
         self.make = lambda x: array(code, self.fast.encode_ordinary(x)).tobytes()

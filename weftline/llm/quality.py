@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import slices
+
 #: The largest number of labelled rows that fitting uses: those of least hash.
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
@@ -114,7 +116,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, keep: str) -> DataFra
     """doc_id, the column ``keep`` as long, and the statistics of each text as an array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([statistics(t) for t in b.column(2).to_pylist()], pa.list_(pa.float64()))], ["doc_id", "kept", "x"])
 
     return docs.select(docs[id_col].cast("long"), docs[keep].cast("long"), docs[text_col].cast("string")).mapInArrow(run, "doc_id long, kept long, x array<double>")
@@ -124,13 +126,15 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_
     """Fits on at most ``sample_rows`` labelled rows that aren't held out, those whose id has the least hash.
 
     The sample, of ids and labels, is bounded and so is broadcast; only its documents' statistics
-    reach the driver. Null labels don't count; of differing labels of one id the larger holds.
+    reach the driver, a row per id however often it is repeated (of differing texts the one of least
+    statistics). Null labels don't count; of differing labels of one id the larger holds.
     """
     sample = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col), parts, part))
     sample = sample.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("long").alias("_label"))
     sample = sample.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
     chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_label")
-    rows = sorted((r["doc_id"], r["kept"], r["x"]) for r in described(chosen, "doc_id", "text", "_label").collect())
+    one = described(chosen, "doc_id", "text", "_label").groupBy("doc_id").agg(F.min(F.struct("kept", "x")).alias("r"))
+    rows = sorted((r["doc_id"], r["r"]["kept"], r["r"]["x"]) for r in one.collect())
     return fit(np.array([r[2] for r in rows]).reshape(-1, len(NAMES)), np.array([r[1] for r in rows], float))
 
 
@@ -138,7 +142,7 @@ def score(docs: DataFrame, trees: Trees, *, id_col: str = "doc_id", text_col: st
     """doc_id and score, a row per input row, null ids and repeated rows included. A null text counts as empty. Other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = np.array([statistics(t) for t in b.column(1).to_pylist()]).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(trees.score(x))], ["doc_id", "score"])
 
@@ -146,11 +150,14 @@ def score(docs: DataFrame, trees: Trees, *, id_col: str = "doc_id", text_col: st
 
 
 def keep_good(docs: DataFrame, trees: Trees, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is at least ``threshold``."""
+    """The rows of ``docs``, all columns, whose score is at least ``threshold``.
+
+    A null text is scored as an empty one; repeated rows and null ids are judged like any other. Texts are taken whole.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, at):
             x = np.array([statistics(t) for t in b.column(at).to_pylist()]).reshape(-1, len(NAMES))
             yield b.filter(pa.array(trees.score(x) >= threshold))
 

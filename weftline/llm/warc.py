@@ -171,7 +171,9 @@ def write_archives(pages: DataFrame, *, folder: str | None = None, date: str = "
     page = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).alias("html"))
     page = page.withColumn("digest", F.when(F.octet_length("html") >= LEAST_REVISIT, F.sha1("html")))
     equal = page.where("digest IS NOT NULL").groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1")
-    chosen = page.join(equal, page["digest"] == equal["d"], "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
+    large = page.where("digest IS NOT NULL").join(equal, F.col("digest") == equal["d"], "left")
+    large = large.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
+    chosen = large.unionByName(page.where("digest IS NULL").select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
