@@ -23,13 +23,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from weftline.llm.common import small_batches
+
 #: White space as Unicode has it, by code point.
 SPACE_POINTS = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 SPACE = "".join(map(chr, SPACE_POINTS))
 #: What Python takes for white space, other than the plain space and the line feed.
 ODD_SPACE = "".join(map(chr, (*(c for c in SPACE_POINTS if c not in (10, 32)), 0x1C, 0x1D, 0x1E, 0x1F)))
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 #: Fixed value: the splitting pattern for which texts may be cut into chunks, and those shortened. Texts go whole through any other.
 CHUNKED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -273,4 +275,4 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
                 columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(packed, pa.binary())] * with_ids, [k.split()[0] for k in kinds.split(", ")])
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(run, kinds)
+    return small_batches(docs).select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(run, kinds)

@@ -13,12 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text, in bytes, that a task takes out of Arrow's memory at a time.
 SLICE_BYTES = 2 << 20
+#: Rows of an Arrow batch, at most: whole texts are long, and both sides hold a batch at once.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``; from here on the session's Arrow batches have ``BATCH_ROWS`` rows at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return docs
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` as the session has it.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import slices
+from weftline.llm.common import slices, small_batches
 from weftline.llm.quality import held_out
 
 #: The most documents of a language that fitting reads (those of least hash), and the table of n-gram scores.
@@ -90,7 +90,7 @@ def counted(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataF
             at = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(count[at])], ["lang", "cell", "n"])
 
-    return docs.select(docs[lang_col].cast("string"), docs[text_col].cast("string")).mapInArrow(run, "lang string, cell long, n double")
+    return small_batches(docs).select(docs[lang_col].cast("string"), docs[text_col].cast("string")).mapInArrow(run, "lang string, cell long, n double")
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, most_langs: int = MOST_LANGS, parts: int = 3, part: int = 1) -> Model:
@@ -217,7 +217,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
                 switches.append(int((label[1:] != label[:-1]).sum()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(switches, pa.int64())], ["doc_id", "lang_pred", "score", "n_switches"])
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, n_switches long")
+    return small_batches(docs).select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, n_switches long")
 
 
 def spans(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH) -> DataFrame:
@@ -242,7 +242,7 @@ def spans(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "start", "end", "lang"])
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(run, "doc_id long, start long, end long, lang string")
+    return small_batches(docs).select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(run, "doc_id long, start long, end long, lang string")
 
 
 def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text", switch: float = SWITCH, least: float = 0.3) -> DataFrame:
@@ -261,4 +261,4 @@ def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text", switch:
                 good.append(bool(letters.sum() and letters.max() >= least * letters.sum()))
             yield b.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

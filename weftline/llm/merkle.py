@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import small_batches
+
 #: One in so many paragraphs ends a section.
 SECTION = 8
 #: Runs of up to eight words, ended by a word whose last byte leaves 1 when divided by four; never over 32 bytes of one word.
@@ -172,4 +174,4 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return with_next(docs, id_col, text_col, buckets).mapInArrow(run, FINGERPRINTS)
+    return with_next(small_batches(docs), id_col, text_col, buckets).mapInArrow(run, FINGERPRINTS)

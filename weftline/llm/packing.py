@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.bpe import CHUNKED, Chunks, chunks
-from weftline.llm.common import kept
+from weftline.llm.common import kept, small_batches
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -87,7 +87,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int, i
                 start += int(sizes.sum())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([part] * len(raw), pa.int32()), pa.array(starts), pa.array(sizes), pa.array(raw, pa.binary())], ["doc_id", "part", "start", "doc_tokens", "ids"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, part int, start long, doc_tokens long, ids binary")
+    return small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, part int, start long, doc_tokens long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, pattern: str, *, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import slices
+from weftline.llm.common import slices, small_batches
 
 #: The largest number of labelled rows that fitting uses: those of least hash.
 SAMPLE_ROWS = 20_000
@@ -119,7 +119,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, keep: str) -> DataFra
         for b in slices(batches, 2):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([statistics(t) for t in b.column(2).to_pylist()], pa.list_(pa.float64()))], ["doc_id", "kept", "x"])
 
-    return docs.select(docs[id_col].cast("long"), docs[keep].cast("long"), docs[text_col].cast("string")).mapInArrow(run, "doc_id long, kept long, x array<double>")
+    return small_batches(docs).select(docs[id_col].cast("long"), docs[keep].cast("long"), docs[text_col].cast("string")).mapInArrow(run, "doc_id long, kept long, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, parts: int = 5, part: int = 0) -> Trees:
@@ -146,7 +146,7 @@ def score(docs: DataFrame, trees: Trees, *, id_col: str = "doc_id", text_col: st
             x = np.array([statistics(t) for t in b.column(1).to_pylist()]).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(trees.score(x))], ["doc_id", "score"])
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(run, "doc_id long, score double")
+    return small_batches(docs).select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(run, "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, trees: Trees, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -161,4 +161,4 @@ def keep_good(docs: DataFrame, trees: Trees, *, text_col: str = "text", threshol
             x = np.array([statistics(t) for t in b.column(at).to_pylist()]).reshape(-1, len(NAMES))
             yield b.filter(pa.array(trees.score(x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import new_path
+from weftline.llm.common import new_path, small_batches
 
 #: The layouts of header lines by ARC version.
 LAYOUTS = {
@@ -196,7 +196,7 @@ def write_archives(pages: DataFrame, *, folder: str | None = None, date: str = "
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([count], pa.int64())], ["path", "n_records"])
 
-    return chosen.mapInArrow(run, "path string, n_records long"), folder
+    return small_batches(chosen).mapInArrow(run, "path string, n_records long"), folder
 
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
