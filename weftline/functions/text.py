@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 #: Name suffixes that are no surname, and words that titles keep in lower case.
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "esq")
-SMALL_WORDS = ("of", "the", "and", "for", "in", "at", "to", "a", "an", "on", "by", "de", "la")
+SMALL_WORDS = ("of", "and", "the", "for", "de", "del", "la", "las", "los")
+#: Words of four letters or more that say nothing of a text's content.
+STOP_WORDS = (
+    "that", "this", "with", "from", "were", "have", "been", "such", "which",
+    "their", "would", "could", "there", "respondent", "respondents",
+    "district", "because", "where", "when", "shall", "must", "than",
+    "they", "them", "into", "more", "less", "year", "years", "alj",
+    "section", "education", "code", "board", "school", "teacher", "teachers",
+)
 
 
 def tokens(text: Column) -> Column:
@@ -67,3 +75,19 @@ def capital_spans(text: Column, known: tuple[str, ...] = ()) -> Column:
     """Runs of one to three capitalised words that aren't all ``known``."""
     spans = F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+){0,2}\b"), F.lit(0))
     return F.filter(spans, lambda s: ~F.forall(F.split(s, " "), lambda w: w.isin(*known) if known else F.lit(False)))
+
+
+def short_district(text: Column) -> Column:
+    """A district's name in title case, without its closing kind."""
+    return F.regexp_replace(F.regexp_replace(title_case(text), " School District$", ""), " District$", "")
+
+
+def joined_parts(*parts: Column) -> Column:
+    """What is left of the parts once trimmed, with single spaces between; empty parts count as missing."""
+    return F.concat_ws(" ", *[F.nullif(F.trim(p), F.lit("")) for p in parts])
+
+
+def label(code: Column, names: dict[str, str]) -> Column:
+    """The name of a code; of one without a name, the code with spaces for underscores."""
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, code), F.replace(code, F.lit("_"), F.lit(" ")))
