@@ -31,7 +31,7 @@ SPACE = "".join(map(chr, SPACE_POINTS))
 #: What Python takes for white space, other than the plain space and the line feed.
 ODD_SPACE = "".join(map(chr, (*(c for c in SPACE_POINTS if c not in (10, 32)), 0x1C, 0x1D, 0x1E, 0x1F)))
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 400_000
 #: Fixed value: the splitting pattern for which texts may be cut into chunks, and those shortened. Texts go whole through any other.
 CHUNKED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -220,14 +220,14 @@ class Chunks(dict):
     or comma behind a letter or digit, are pieces of their own.
     """
 
-    def __init__(self, make, before: str):
+    def __init__(self, make, before: str, most: int = CACHE_ENTRIES):
         super().__init__()
-        self.make, self.before, self.older = make, before, {}
-        self.after_line = self if not before else Chunks(make, "")
+        self.make, self.before, self.most, self.older = make, before, most, {}
+        self.after_line = self if not before else Chunks(make, "", most)
         self.single = {c: make(c) for c in ".,\n"}
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         if (value := self.older.get(chunk)) is None:

@@ -25,6 +25,9 @@ from weftline.llm.common import kept, small_batches
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
+#: Chunks whose ids a worker keeps, at most.
+MOST_CHUNKS = 150_000
+
 
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, others from 256 on."""
@@ -57,7 +60,7 @@ class ByteLevelFile:
         self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) if plain else None
         code = self.kind.char
         self.make = lambda x: array(code, self.fast.encode_ordinary(x)).tobytes()
-        self.cache = Chunks(self.make, " ") if self.fast else {}
+        self.cache = Chunks(self.make, " ", MOST_CHUNKS) if self.fast else {}
 
     def ids(self, text: str) -> bytes:
         """The ids of one text, packed."""
