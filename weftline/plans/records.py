@@ -226,10 +226,10 @@ def u05_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.agg(F.sum("s").alias("selected"), F.sum("g").alias("gold"), F.sum(F.col("s") * F.col("g")).alias("both"))
 
 
-@query("""WITH f AS (SELECT l_orderkey, l_returnflag, min(l_linenumber::BIGINT * 1000000000 + l_partkey) AS pos FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, string_agg(l_returnflag, ',' ORDER BY pos) AS kinds FROM f GROUP BY 1""")
+@query("""WITH f AS (SELECT l_orderkey, l_returnflag, min({'n': l_linenumber, 'p': l_partkey}) AS pos FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, string_agg(l_returnflag, ',' ORDER BY pos, l_returnflag) AS kinds FROM f GROUP BY 1""")
 def u06_ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's kinds in the order in which they first come."""
-    x = F.array_sort(F.collect_list(F.struct((F.col("l_linenumber") * F.lit(1000000000) + F.col("l_partkey")).alias("at"), "l_returnflag")))
+    x = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag")))
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(x.alias("x"))
     return rows.select("l_orderkey", F.array_join(F.array_distinct(F.transform("x", lambda r: r["l_returnflag"])), ",").alias("kinds"))
 
