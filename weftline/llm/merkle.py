@@ -3,8 +3,8 @@
 Leaves are paragraphs (lines). A section ends behind a paragraph whose digest says so, so that an
 edit moves no boundary but its own. A section's digest is that of its paragraphs' digests, the
 root's that of the sections'. Equal roots mean equal texts; where roots differ, comparing branches
-leads to the paragraphs edited. For likeness within paragraphs a fingerprint also has short digests
-of their runs of words.
+leads to the paragraphs edited. Below paragraphs a fingerprint also has short digests of their runs
+of words, so that likeness can be told within paragraphs that differ.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import binascii
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from typing import NamedTuple
@@ -37,60 +38,102 @@ def digest(data: bytes) -> bytes:
 
 
 class Tree(NamedTuple):
-    """root and sections: digests; paragraphs: digests by section; runs: 24-bit digests by paragraph, in order."""
+    """Digests: root and sections in letters, paragraphs by section, and 24-bit ones of runs by section and paragraph."""
 
-    root: bytes
-    sections: list[bytes]
-    paragraphs: list[list[bytes]]
-    runs: list[list[int]]
+    root: str
+    sections: list[str]
+    paragraphs: list[list[str]]
+    runs: list[list[np.ndarray]]
 
     def __str__(self) -> str:
-        """``root;section,runs,runs;section,...``: hex digests, and four letters for each run."""
-        flat = np.array([r for rs in self.runs for r in rs], ">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes()
-        letters, at, k, out = binascii.b2a_base64(flat, newline=False).decode(), 0, 0, [self.root.hex()]
-        for section, paragraphs in zip(self.sections, self.paragraphs, strict=True):
-            row = [section[:4].hex()]
-            for _ in paragraphs:
-                row.append(letters[at : (at := at + 4 * len(self.runs[k]))])
-                k += 1
+        """``root;section,paragraph,...;section,...``: hex root, eight letters a section, four a paragraph and for each of its runs."""
+        flat = [r for section in self.runs for r in section]
+        letters, at, out = lettered(np.concatenate(flat)), 0, [self.root]
+        for section, names, runs in zip(self.sections, self.paragraphs, self.runs, strict=True):
+            row = [section]
+            for name, r in zip(names, runs, strict=True):
+                row.append(name + letters[at : (at := at + 4 * len(r))])
             out.append(",".join(row))
         return ";".join(out)
 
+    @property
+    def size(self) -> int:
+        return sum(len(r) for section in self.runs for r in section)
+
+
+def lettered(numbers: np.ndarray) -> str:
+    """Four letters for each 24-bit number."""
+    return binascii.b2a_base64(numbers.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes(), newline=False).decode()
+
 
 def tree(text: str) -> Tree:
     paragraphs: list[list[bytes]] = [[]]
-    runs, hashed = [], xxhash.xxh3_64_intdigest
+    runs: list[list[np.ndarray]] = [[]]
+    hashed = xxhash.xxh3_64_intdigest
     lines = text.encode("utf-8", "surrogatepass").split(b"\n")
     for i, line in enumerate(lines):
         d = digest(line)
-        runs.append([hashed(r) & 0xFFFFFF for r in RUN.findall(line)])
+        runs[-1].append(np.array([hashed(r) & 0xFFFFFF for r in RUN.findall(line)], np.int64))
         paragraphs[-1].append(d)
         if d[0] % SECTION == 0 and i + 1 < len(lines):
             paragraphs.append([])
+            runs.append([])
     sections = [digest(b"".join(p)) for p in paragraphs]
-    return Tree(digest(b"".join(sections)), sections, paragraphs, runs)
+    short = lambda d, n: binascii.b2a_base64(d[:n], newline=False).decode()
+    return Tree(digest(b"".join(sections)).hex(), [short(d, 6) for d in sections], [[short(d, 3) for d in p] for p in paragraphs], runs)
 
 
-def read(fingerprint: str) -> tuple[str, list[tuple[str, list[str]]]]:
-    """The root, and each section's digest with its paragraphs' runs, of a fingerprint."""
+def read(fingerprint: str) -> Tree:
+    """The tree that a fingerprint tells of."""
     root, *sections = fingerprint.split(";")
-    return root, [(s.split(",")[0], s.split(",")[1:]) for s in sections]
-
-
-def likeness(a: str, b: str) -> float:
-    """1 for equal roots, else the share of distinct runs that both have (Dice), always below 1."""
-    (ra, sa), (rb, sb) = read(a), read(b)
-    runs = lambda s: {p[i : i + 4] for _, ps in s for p in ps for i in range(0, len(p), 4)}
-    return 1.0 if ra == rb else shared(runs(sa), runs(sb))
+    parts = [s.split(",") for s in sections]
+    numbers = lambda letters: np.frombuffer(b"\0" + binascii.a2b_base64(letters), np.uint8)[1:].reshape(-1, 3) @ np.array([1 << 16, 1 << 8, 1])
+    return Tree(root, [p[0] for p in parts], [[x[:4] for x in p[1:]] for p in parts], [[numbers(x[4:]) for x in p[1:]] for p in parts])
+
+
+def unmatched(a: list[str], b: list[str]) -> tuple[list[int], list[int]]:
+    """Places in ``a`` and ``b`` that are left once equal digests are paired, one for one."""
+    left, mine, free = Counter(b), [], Counter()
+    for i, d in enumerate(a):
+        if left[d]:
+            left[d] -= 1
+            free[d] += 1
+        else:
+            mine.append(i)
+    other = []
+    for i, d in enumerate(b):
+        if free[d]:
+            free[d] -= 1
+        else:
+            other.append(i)
+    return mine, other
+
+
+def likeness(a: Tree, b: Tree) -> float:
+    """1 for equal roots, else the share of runs that both have, each as often as it is in both (Dice), always below 1.
+
+    Sections of equal digests count whole, and so do paragraphs in those that are left; runs are
+    compared only in paragraphs that differ.
+    """
+    if a.root == b.root:
+        return 1.0
+    mine, other = unmatched(a.sections, b.sections)
+    x, y = ([(d, r) for i in at for d, r in zip(t.paragraphs[i], t.runs[i], strict=True)] for t, at in ((a, mine), (b, other)))
+    mine, other = unmatched([d for d, _ in x], [d for d, _ in y])
+    p, q = (np.concatenate([np.zeros(0, np.int64), *[z[i][1] for i in at]]) for z, at in ((x, mine), (y, other)))
+    n = a.size + b.size
+    return min((n - len(p) - len(q) + 2 * in_both(p, q)) / n, n / (n + 1)) if n else 0.0
 
 
-def shared(a: set, b: set) -> float:
-    n = len(a) + len(b)
-    return min(2 * len(a & b) / n, n / (n + 1)) if n else 0.0
+def in_both(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two bags share."""
+    (x, n), (y, m) = (np.unique(z, return_counts=True) for z in (a, b))
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum())
 
 
 def edits(a: Tree, b: Tree) -> list[tuple[int, int, int, int]]:
-    """Where two texts differ: paragraphs from and to (exclusive) in ``a``, and in ``b``.
+    """Where two texts differ: paragraphs from and to (exclusive) in ``a``, and in ``b``; trees may come from ``read``.
 
     Sections are compared first; only within those that differ are paragraphs looked at.
     """
@@ -147,6 +190,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     The edited text has its last floor(n/2) code points replaced by the first as many of the next
     row's text, in descending order of ids; rows of one id are ordered by text, null ids come last,
     and after the last row comes the first (a lone row is its own next). A null text counts as empty.
+    A very long text is one row of a batch of its own; its tree is held with that of the row before.
     Other columns are not read.
     """
     buckets = buckets or max(1, docs.rdd.getNumPartitions())
@@ -162,15 +206,13 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                     if guest and not waiting:
                         continue
                     own = tree(text)
-                    mine = {r for rs in own.runs for r in rs}
                     if waiting:
-                        i, t, tr, had = waiting
+                        i, t, had = waiting
                         m = len(t) // 2
                         edited = t[: len(t) - m] + text[:m]
                         new = tree(edited)
-                        near = [1.0 if tr.root == o.root else shared(had, rs) for o, rs in ((new, {r for q in new.runs for r in q}), (own, mine))]
-                        rows.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), str(tr), str(new), *near))
-                    waiting = None if guest else (doc_id, text, own, mine)
+                        rows.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), str(had), str(new), likeness(had, new), likeness(had, own)))
+                    waiting = None if guest else (doc_id, text, own)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
