@@ -3,10 +3,11 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.functions import stats
+from weftline.functions import permutation, stats
 from weftline.functions import text as tx
 from weftline.operators import select
 from weftline.plans import QUERIES
@@ -59,7 +60,7 @@ def test_binomial_against_the_definition(spark):
 
 def test_step_up_by_hand(spark):
     df = spark.createDataFrame([*enumerate([0.001, 0.04, 0.03, 0.9])], "i long, p double")
-    got = {r["i"]: (round(r["q_value"], 6), r["reject"]) for r in stats.step_up(df, "p", "i").collect()}
+    got = {r["i"]: (round(r["q_value"], 6), r["reject"]) for r in stats.step_up(df, "p").collect()}
     assert got == {0: (0.004, True), 1: (0.053333, False), 2: (0.053333, False), 3: (0.9, False)}
 
 
@@ -86,3 +87,46 @@ def test_greedy_choice_of_odd_rows(spark):
     df = spark.createDataFrame(rows, "id long, c string, s double, v array<double>")
     assert [r["id"] for r in select.distinct_greedy(df, "id", "c", "s", "v", 0.9, 3).collect()] == [1, 3, 4]
     assert select.distinct_greedy(df.limit(0), "id", "c", "s", "v", 0.9, 3).count() == 0
+
+
+def test_step_up_over_many_ranges(spark):
+    rng = np.random.default_rng(1)
+    p = np.round(rng.random(3000) ** 3, 4)
+    order = np.argsort(p, kind="stable")
+    ratio = p[order] * len(p) / np.arange(1, len(p) + 1)
+    want = np.empty(len(p))
+    want[order] = np.minimum(1, np.minimum.accumulate(ratio[::-1])[::-1])
+    last = max((x for x, r in zip(p[order], ratio, strict=True) if r <= 0.05), default=-1)
+    df = spark.createDataFrame([*enumerate(p.tolist()), (-1, None)], "i long, p double")
+    got = {r["i"]: (r["q_value"], r["reject"]) for r in stats.step_up(df, "p", ranges=7).collect()}
+    assert got.pop(-1) == (None, None) and len(got) == len(p)
+    assert np.allclose([got[i][0] for i in range(len(p))], want) and [got[i][1] for i in range(len(p))] == (p <= last).tolist()
+
+
+def test_binomial_at_sure_rates(spark):
+    df = spark.createDataFrame([(3, 3, 1.0), (0, 4, 0.0), (2, 2, 0.5)], "k long, n long, p0 double")
+    assert [r["p"] for r in stats.binomial_p(df, "k", "n", "p0").orderBy("p0").collect()] == [1.0, 0.5, 1.0]
+
+
+@pytest.mark.parametrize("blocks", [1, 5])
+def test_permutation_against_shuffles(spark, blocks):
+    rng = np.random.default_rng(2)
+    entity, stratum, label = rng.choice(12, 400, p=[0.4, *[0.6 / 11] * 11]), rng.integers(0, 3, 400), rng.integers(0, 3, 400)
+    cells = pd.DataFrame({"e": entity, "s": stratum, "l": label}).value_counts().reset_index(name="n")
+
+    def chi2(labels):
+        seen = np.histogram2d(entity, labels, (12, 3))[0]
+        expected = seen.sum(1, keepdims=True) * seen.sum(0) / seen.sum()
+        return ((seen - expected) ** 2 / expected).sum()
+
+    plain = []
+    for _ in range(1500):
+        dealt = label.copy()
+        for s in range(3):
+            dealt[stratum == s] = rng.permutation(dealt[stratum == s])
+        plain.append(chi2(dealt))
+    drawn = {r["turn"]: r["chi2"] for r in permutation.shuffled_chi2(spark.createDataFrame(cells), "e", "s", "l", "n", turns=1500, blocks=blocks).collect()}
+    assert len(drawn) == 1501 and abs(drawn.pop(0) - chi2(label)) < 1e-9
+    assert abs(np.mean([*drawn.values()]) - np.mean(plain)) < 5 * np.std(plain) * (2 / 1500) ** 0.5
+    assert abs(np.std([*drawn.values()]) / np.std(plain) - 1) < 0.15
+    assert permutation.shuffled_chi2(spark.createDataFrame(cells).limit(0), "e", "s", "l", "n").count() == 0

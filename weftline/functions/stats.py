@@ -15,7 +15,7 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 
 def binomial_p(counts: DataFrame, k: str, n: str, p0: str) -> DataFrame:
-    """``counts`` with p: the exact two-sided probability of ``k`` of ``n`` at rate ``p0`` (0 < p0 < 1).
+    """``counts`` with p: the exact two-sided probability of ``k`` of ``n`` at rate ``p0``; at a rate of 0 or 1 it is 1 for the only outcome there is, 0 for others.
 
     All outcomes no likelier than the one seen count, within a relative 1e-9. Each distinct (k, n, p0)
     is computed once; log-factorials come from running sums along the outcomes.
@@ -27,21 +27,35 @@ def binomial_p(counts: DataFrame, k: str, n: str, p0: str) -> DataFrame:
     grid = grid.withColumn("lp", F.sum(step).over(own))
     seen = F.max(F.when(F.col("i") == F.col("k"), F.col("lp"))).over(Window.partitionBy("k", "n", "p0"))
     sums = grid.withColumn("seen", seen).groupBy("k", "n", "p0").agg(F.least(F.lit(1.0), F.sum(F.when(F.col("lp") <= F.col("seen") + 1e-9, F.exp("lp")).otherwise(0.0))).alias("p"))
-    sums = sums.select(F.col("k").alias("_k"), F.col("n").alias("_n"), F.col("p0").alias("_p0"), "p")
+    p = F.when(F.col("p0") == 0, (F.col("k") == 0).cast("double")).when(F.col("p0") == 1, (F.col("k") == F.col("n")).cast("double")).otherwise(F.col("p"))
+    sums = sums.select(F.col("k").alias("_k"), F.col("n").alias("_n"), F.col("p0").alias("_p0"), p.alias("p"))
     return counts.join(sums, (F.col(k) == F.col("_k")) & (F.col(n) == F.col("_n")) & (F.col(p0) == F.col("_p0"))).drop("_k", "_n", "_p0")
 
 
-def step_up(tests: DataFrame, p: str, key: str, q: float = 0.05) -> DataFrame:
-    """``tests`` with q_value and reject: the false discovery rate is held at ``q``.
+def step_up(tests: DataFrame, p: str, q: float = 0.05, ranges: int = 64) -> DataFrame:
+    """``tests`` with q_value and reject: the false discovery rate is held at ``q``; a null p stays untested (both null).
 
-    The tests of one family are few against the rows they come from, so they are ordered as one.
+    Equal p share an outcome, so only distinct ones are ordered: within ranges of p that hold about
+    equally many, each a window of its own, with the counts of the ranges before and the least of those after.
     """
-    order = Window.orderBy(F.col(p), F.col(key))
-    ranked = tests.withColumn("_i", F.row_number().over(order)).withColumn("_m", F.count("*").over(Window.partitionBy()))
-    from_last = Window.orderBy(F.col("_i").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ranked.withColumn("q_value", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_i")).over(from_last)))
-    passing = F.coalesce(F.max(F.when(F.col(p) <= q * F.col("_i") / F.col("_m"), F.col("_i"))).over(Window.partitionBy()), F.lit(0))
-    return ranked.withColumn("reject", F.col("_i") <= passing).drop("_i", "_m")
+    distinct = tests.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
+    bounds = distinct.agg(F.percentile_approx("_p", [i / ranges for i in range(1, ranges)], 10_000).alias("_bounds"))
+    place = F.size(F.filter("_bounds", lambda b: b < F.col("_p")))
+    ranged = distinct.crossJoin(F.broadcast(bounds)).select("_p", "_n", place.alias("_range"))  # one row
+    up = Window.partitionBy("_range").orderBy("_p")
+    ranged = ranged.withColumn("_upto", F.sum("_n").over(up))
+    sizes = ranged.groupBy("_range").agg(F.sum("_n").alias("_size"))  # a row per range from here on
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"), F.sum("_size").over(Window.partitionBy()).alias("_m"))
+    ratio = ranged.join(F.broadcast(sizes), "_range").withColumn("_i", F.col("_before") + F.col("_upto")).withColumn("_ratio", F.col("_p") * F.col("_m") / F.col("_i"))
+    down = Window.partitionBy("_range").orderBy(F.desc("_p"))
+    ratio = ratio.withColumn("_least", F.min("_ratio").over(down))
+    after = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ratio.groupBy("_range").agg(F.min("_ratio").alias("_low")).select("_range", F.min("_low").over(after).alias("_later"))
+    last = ratio.agg(F.max(F.when(F.col("_p") <= q * F.col("_i") / F.col("_m"), F.col("_p"))).alias("_last"))
+    out = ratio.join(F.broadcast(ends), "_range").crossJoin(F.broadcast(last))  # one row
+    out = out.select("_p", F.least(F.lit(1.0), "_least", "_later").alias("q_value"), F.coalesce(F.col("_p") <= F.col("_last"), F.lit(False)).alias("reject"))
+    return tests.join(out, F.col(p) == F.col("_p"), "left").drop("_p")
 
 
 def dispersion(cases: DataFrame, entity: str, won: str, least: int, by: tuple[str, ...] = ()) -> DataFrame:

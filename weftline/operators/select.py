@@ -40,23 +40,30 @@ def distinct_greedy(rows: DataFrame, key: str, category: str, confidence: str, v
 
     Rows of a category come one after another, most confident first, in batches; only the vectors
     chosen so far are held. What one category chooses never depends on another, so the cut to
-    ``size`` comes last. Null categories count as one; null vectors are like nothing.
+    ``size`` comes last, and a category stops once it has chosen ``size``: later rows of it couldn't stay. Null categories count as one; null vectors are like nothing.
     """
     unit = "_category"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, chosen = object(), np.zeros((0, 0))
+        now, held, chosen, taken = object(), 0, np.zeros((0, 0)), 0
         for batch in batches:
             take = []
             for c, v in zip(batch[unit], batch[vector], strict=True):
                 if c != now:
-                    now, chosen = c, np.zeros((0, 0))
+                    now, held, chosen, taken = c, 0, np.zeros((0, 0)), 0
+                if taken == size:
+                    take.append(False)
+                    continue
                 x = None if v is None else np.asarray(v, float)
                 n = None if x is None else np.linalg.norm(x)
-                alike = x is not None and n > 0 and len(chosen) and (chosen @ (x / n)).max() >= most
+                alike = x is not None and n > 0 and held and (chosen[:held] @ (x / n)).max() >= most
                 take.append(not alike)
+                taken += not alike
                 if not alike and x is not None and n > 0:
-                    chosen = np.vstack([chosen.reshape(-1, len(x)), x / n])
+                    if held == len(chosen):
+                        chosen = np.concatenate([chosen.reshape(-1, len(x)), np.zeros((max(16, held), len(x)))])
+                    chosen[held] = x / n
+                    held += 1
             yield batch.loc[take, [key, category, confidence]]
 
     ready = rows.select(key, category, confidence, vector, F.coalesce(F.col(category).cast("string"), F.lit("")).alias(unit))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.functions import stats
+from weftline.functions import permutation, stats
 from weftline.registry import query, table
 
 LEAST = 12
@@ -56,7 +56,7 @@ def m03_binomial_two_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
 q AS (SELECT *, least(1, min(p * m / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) AS qv, max(CASE WHEN p <= 0.05 * i / m THEN i END) OVER () AS last FROM o)
 SELECT o_custkey, p, round(qv, 6) AS q_value, i <= coalesce(last, 0) AS reject FROM q""")
 def m04_false_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.step_up(m03_binomial_two_sided(spark, sf_dir), "p", "o_custkey").select("o_custkey", "p", F.round("q_value", 6).alias("q_value"), "reject")
+    return stats.step_up(m03_binomial_two_sided(spark, sf_dir), "p").select("o_custkey", "p", F.round("q_value", 6).alias("q_value"), "reject")
 
 
 SPREAD = "(SELECT {0} sum(pow(k - n * p, 2) / (n * p * (1 - p))) AS q, count(*) AS entities FROM (SELECT *, sum(k) OVER ({1}) / sum(n) OVER ({1}) AS p FROM (SELECT {0} o_custkey, count(*) AS n, sum(won) AS k FROM {2} GROUP BY {0} o_custkey HAVING count(*) >= 12)) {3})"
@@ -74,9 +74,9 @@ TURNS = 20
 t AS (SELECT *, unnest(range(1, {TURNS + 1})) AS turn FROM c),
 w AS (SELECT *, row_number() OVER (PARTITION BY turn, yr ORDER BY o_orderkey) AS at_, row_number() OVER (PARTITION BY turn, yr ORDER BY md5(concat_ws('|', turn, o_orderkey)), o_orderkey) AS to_ FROM t),
 s AS (SELECT a.turn, a.o_custkey, b.won FROM w a JOIN w b ON a.turn = b.turn AND a.yr = b.yr AND a.at_ = b.to_),
-perm AS {SPREAD.format('turn,', 'PARTITION BY turn', 's', 'GROUP BY turn').replace('SELECT turn, sum(pow', 'SELECT turn, sum(pow')},
+perm AS {SPREAD.format('turn,', 'PARTITION BY turn', 's', 'GROUP BY turn')},
 obs AS {SPREAD.format('', '', 'c', '')}
-SELECT round(max(obs.q), 6) AS q, round(avg(perm.q), 6) AS mean_shuffled, (1 + count(*) FILTER (WHERE round(perm.q, 9) >= round(obs.q, 9))) / (1 + {TURNS}) AS p FROM perm, obs""".replace("SELECT turn, sum(pow(k", "SELECT turn, sum(pow(k"))
+SELECT round(max(obs.q), 6) AS q, round(avg(perm.q), 6) AS mean_shuffled, (1 + count(*) FILTER (WHERE round(perm.q, 9) >= round(obs.q, 9))) / (1 + {TURNS}) AS p FROM perm, obs""")
 def m06_permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Win labels shuffled within years: how often a shuffle spreads win rates at least as much."""
     d = decided(spark, sf_dir)
@@ -88,6 +88,29 @@ def m06_permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.round(F.max("seen"), 6).alias("q"), F.round(F.avg("q"), 6).alias("mean_shuffled"), ((1 + F.count_if(F.round("q", 9) >= F.round("seen", 9))) / (1 + TURNS)).alias("p"))
 
 
+def large(cases: DataFrame, entity: str, least: int) -> DataFrame:
+    """The cases of entities with ``least`` of them or more."""
+    return cases.join(cases.groupBy(entity).agg(F.count("*").alias("_n")).where(F.col("_n") >= least), entity, "left_semi")
+
+
+@query()
+def m06_permutation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Win rates of entities with 12 cases or more against 5,000 shuffles: of all cases, and within years. Draws are random, by a fixed seed."""
+    cases = large(decided(spark, sf_dir), "o_custkey", LEAST)
+    cells = cases.groupBy("o_custkey", "yr", "won").agg(F.count("*").alias("n"))
+    of_all = cells.groupBy("o_custkey", "won").agg(F.sum("n").alias("n")).withColumn("all", F.lit(""))
+    both = [("all", of_all, "all"), ("within years", cells, "yr")]
+    parts = [permutation.tested(permutation.shuffled_chi2(c, "o_custkey", s, "won", "n")).select(F.lit(name).alias("shuffled"), "*") for name, c, s in both]
+    return parts[0].unionByName(parts[1])
+
+
+@query()
+def m07_permutation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of events by user against 5,000 shuffles of types among all events."""
+    cells = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).withColumn("all", F.lit(""))
+    return permutation.tested(permutation.shuffled_chi2(cells.na.drop(), "user_id", "all", "event_type", "n"))
+
+
 CELLS = """c AS (SELECT user_id, event_type, count(*) AS obs FROM events GROUP BY 1, 2),
 x AS (SELECT *, sum(obs) OVER (PARTITION BY user_id) * sum(obs) OVER (PARTITION BY event_type) / sum(obs) OVER () AS exp FROM
   (SELECT u.user_id, t.event_type, coalesce(c.obs, 0) AS obs FROM (SELECT DISTINCT user_id FROM c) u CROSS JOIN (SELECT DISTINCT event_type FROM c) t LEFT JOIN c ON c.user_id = u.user_id AND c.event_type = t.event_type))"""
