@@ -73,8 +73,8 @@ def without_lines(text: Column, start: str) -> Column:
 
 def capital_spans(text: Column, known: tuple[str, ...] = ()) -> Column:
     """Runs of one to three capitalised words that aren't all ``known``."""
-    spans = F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+){0,2}\b"), F.lit(0))
-    return F.filter(spans, lambda s: ~F.forall(F.split(s, " "), lambda w: w.isin(*known) if known else F.lit(False)))
+    spans = F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-zà-ÿ'\-]+(?:\s+[A-Z][a-zà-ÿ'\-]+){0,2}\b"), F.lit(0))
+    return F.filter(spans, lambda s: ~F.forall(F.split(s, r"\s+"), lambda w: w.isin(*known) if known else F.lit(False)))
 
 
 def short_district(text: Column) -> Column:
