@@ -32,6 +32,8 @@ SPACE = "".join(map(chr, SPACE_POINTS))
 ODD_SPACE = "".join(map(chr, (*(c for c in SPACE_POINTS if c not in (10, 32)), 0x1C, 0x1D, 0x1E, 0x1F)))
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 CACHE_ENTRIES = 400_000
+#: Characters of a piece or chunk whose ids are kept, at most, so that a cache is bounded in bytes too.
+LONGEST_KEPT = 64
 #: Fixed value: the splitting pattern for which texts may be cut into chunks, and those shortened. Texts go whole through any other.
 CHUNKED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -150,9 +152,10 @@ class PrefixBpe:
             data = piece.encode()
             whole = self.ranks.get(data)
             ids = [whole] if whole is not None else self.backwards(self.extend(data, []))
-            if len(self._pieces) >= CACHE_ENTRIES:
-                self._pieces.clear()
-            self._pieces[piece] = ids
+            if len(piece) <= LONGEST_KEPT:
+                if len(self._pieces) >= CACHE_ENTRIES:
+                    self._pieces.clear()
+                self._pieces[piece] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
@@ -214,7 +217,7 @@ class EditableText:
 
 
 class Chunks(dict):
-    """The ids of chunks with ``before`` before them, made once; those not asked for again are dropped.
+    """The ids of chunks with ``before`` before them, made once; those not asked for again, and long ones, are dropped.
 
     Only what is not yet known is encoded: a line feed between other characters, and a full stop
     or comma behind a letter or digit, are pieces of their own.
@@ -238,7 +241,8 @@ class Chunks(dict):
                 value = self[chunk[:-1]] + self.single[chunk[-1]]
             else:
                 value = self.make(self.before + chunk)
-        self[chunk] = value
+        if len(chunk) <= LONGEST_KEPT:
+            self[chunk] = value
         return value
 
 

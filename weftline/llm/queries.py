@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import ann, bpe, jaccard, langid, licenses, merkle, packing, quality, secrets, warc
+from weftline.llm import ann, bpe, codes, crosstoken, jaccard, langid, licenses, merkle, minhash, packing, quality, secrets, warc
 from weftline.llm.common import table
 
 
@@ -60,15 +60,30 @@ def op10_concat_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op11_bottom_k_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.dedup(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letters, pieces = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return crosstoken.align(table(spark, sf_dir, "documents"), letters, pieces, public_tokenizers.PATTERN)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_merkle_fingerprints, op2_posting_list_search, op3_byte_bpe, op4_secret_scan, op5_ngram_jaccard,
-        op6_quality, op7_license_digests, op8_arc_to_warc, op9_language_id, op10_concat_pack,
+        op6_quality, op7_license_digests, op8_arc_to_warc, op9_language_id, op10_concat_pack, op11_bottom_k_dedup, op12_vector_codes, op13_cross_tokens,
     )
 }
 
-JACCARD_SQL = rf"""
+def linked_sql(percent: int, more: str = "") -> str:
+    """SQL for the groups that links of this percentage form."""
+    return rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 sets AS (
@@ -77,9 +92,9 @@ sets AS (
 grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
 links AS (
   SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
-  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM sets UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
-SELECT s.doc_id, len(s.s) AS n_shingles, min(r.y) AS component_id FROM sets s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, s.s
+SELECT s.doc_id, len(s.s) AS n_shingles, min(r.y) AS component_id{more} FROM sets s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, s.s
 """
 
 WARC_SQL = f"""
@@ -89,4 +104,4 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN last <> page_id THEN 'r
   CASE WHEN last <> page_id THEN last END AS refers_to FROM q
 """
 
-ORACLES = {"op5_ngram_jaccard": JACCARD_SQL, "op7_license_digests": licenses.oracle(), "op8_arc_to_warc": WARC_SQL}
+ORACLES = {"op5_ngram_jaccard": linked_sql(jaccard.PERCENT), "op11_bottom_k_dedup": linked_sql(minhash.PERCENT, ", s.doc_id = min(r.y) AS kept"), "op7_license_digests": licenses.oracle(), "op8_arc_to_warc": WARC_SQL}
