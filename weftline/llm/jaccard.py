@@ -32,7 +32,7 @@ from weftline.llm.components import components
 WORDS = 5
 #: Links need 100 * intersection >= 75 * union, so an intersection of at least 3/7 of both sizes' sum.
 PERCENT = 75
-#: A 5-gram that so many of a task's sets hold, of sets with so many 5-grams together, is reported as frequent.
+#: A 5-gram that so many of a task's distinct sets hold, of sets with so many 5-grams together, is reported as frequent.
 FREQUENT, COUNTED = 3, 2_000_000
 #: Frequent 5-grams come late in order, and of them so many, the most frequent ones, last by their counts.
 MOST_FREQUENT = 1 << 16
@@ -47,8 +47,8 @@ SHORT = 32
 MOST_BITS = 27
 NO_ID = (1 << 63) - 1
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-CHUNK = "block int, part int, grams binary, places binary, owner binary, keys binary, sizes binary"
-MERGED = "block int, grams binary, leader binary, keys binary, roots binary, low binary, high binary, rest binary, weight binary"
+CHUNK = "block int, part int, parts int, grams binary, places binary, owner binary, keys binary, sizes binary"
+MERGED = "block int, part int, parts int, grams binary, leader binary, keys binary, roots binary, low binary, high binary, rest binary, weight binary"
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -114,16 +114,18 @@ def described(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), pa.array(counts, pa.int64()), none(pa.binary()), none(pa.int64()), none(pa.binary()), pa.array(grams.view(np.int64))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, room = [], 0
+        held, room = {}, 0
         for part in slices(batches):
             sets = [shingles(t) for t in part.column(1).to_pylist()]
-            rows = [part.column(0), part.column(2), pa.array([*map(len, sets)], pa.int64()), pa.array([*map(set_key, sets)], pa.binary()), part.column(3), pa.array([*map(sketch, sets)], pa.binary())]
+            keys = [*map(set_key, sets)]
+            rows = [part.column(0), part.column(2), pa.array([*map(len, sets)], pa.int64()), pa.array(keys, pa.binary()), part.column(3), pa.array([*map(sketch, sets)], pa.binary())]
             yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(sets), pa.int64())], names)
-            held += sets
-            if (room := room + sum(map(len, sets))) > COUNTED:
-                yield frequent(held)
-                held, room = [], 0
-        yield frequent(held)
+            new = {k: x for k, x in zip(keys, sets, strict=True) if k not in held}
+            held |= new
+            if (room := room + sum(map(len, new.values()))) > COUNTED:
+                yield frequent([*held.values()])
+                held, room = {}, 0
+        yield frequent([*held.values()])
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"), "rep").mapInArrow(run, kinds)
 
@@ -134,10 +136,15 @@ def bit_table(numbers: DataFrame) -> np.ndarray:
     size = 1 << min(MOST_BITS, max(10, (16 * count).bit_length()))
     c = numbers.columns[0]
     at = F.explode(F.array(*[F.expr(f"pmod(shiftright({c}, {11 * i}), {size})") for i in range(4)])).alias("at")
-    words = numbers.select(at).groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).collect()
+    words = numbers.select(at).groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([x.to_numpy().tobytes()], pa.binary()) for x in b.columns], ["word", "bits"])
+
     table = np.zeros(size // 64, np.int64)
-    for w in words:
-        table[w["word"]] = w["bits"]
+    for r in words.mapInArrow(packed, "word binary, bits binary").toLocalIterator():
+        table[np.frombuffer(r["word"], np.int64)] = np.frombuffer(r["bits"], np.int64)
     return table
 
 
@@ -214,7 +221,7 @@ def first_grams(s: np.ndarray, often: np.ndarray, most: np.ndarray) -> tuple[np.
 
 
 def index_chunks(docs: DataFrame, table: np.ndarray, often: np.ndarray, most: np.ndarray, blocks: int, longest: int) -> DataFrame:
-    """First 5-grams of each class, in chunks by block, and of long lists by part: grams, place (in the set's order), owner (a number within the chunk), the owners' keys and sizes."""
+    """First 5-grams of each class, in chunks by block and part: part 0 has whole lists, parts from 1 to ``parts`` those of lists that are dealt out. Columns: grams, place (in the set's order), owner (a number within the chunk), the owners' keys and sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in wanted_only(batches, table):
@@ -229,17 +236,19 @@ def index_chunks(docs: DataFrame, table: np.ndarray, often: np.ndarray, most: np
             place = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams])
             block = ((flat >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)
             own = np.array([s[0] >> np.uint64(8) for s in sets], np.uint64)[owner]
-            part = (own % (many // longest + 1).astype(np.uint64)).astype(np.int64)
+            parts = many // longest + 1
+            part = np.where(parts > 1, (own % parts.astype(np.uint64)).astype(np.int64) + 1, 0)
             order = np.lexsort((part, block))
             at = (block[order] << 32) + part[order]
             full, start = np.unique(at, return_index=True)
             out: list[list] = [[], [], [], [], []]
+            most_parts = np.maximum.reduceat(parts[order], start)
             for rows in np.split(order, start[1:]):
                 # a chunk names the owners that it has, so that all chunks together grow with the grams alone
                 here, number = np.unique(owner[rows], return_inverse=True)
                 for column, values in zip(out, (flat[rows], place[rows], number.astype(np.int32), keys[here], sizes[here]), strict=True):
                     column.append(values.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array((full >> 32).astype(np.int32)), pa.array((full & 0xFFFFFFFF).astype(np.int32)), *[pa.array(c, pa.binary()) for c in out]], [c.split()[0] for c in CHUNK.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array((full >> 32).astype(np.int32)), pa.array((full & 0xFFFFFFFF).astype(np.int32)), pa.array(most_parts.astype(np.int32)), *[pa.array(c, pa.binary()) for c in out]], [c.split()[0] for c in CHUNK.split(", ")])
 
     return docs.select("rep", "text").mapInArrow(run, CHUNK)
 
@@ -274,6 +283,7 @@ def central_pairs(chunks: DataFrame) -> DataFrame:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         names = [c.split()[0] for c in CHUNK.split(", ")]
+        dealt = bool(group["part"].iloc[0])  # then an owner's partners may be in other parts, and all owners go on
         keys, own = np.unique(whole(group, "keys", "V16"), return_inverse=True)
         sizes = np.zeros(len(keys), np.int64)
         sizes[own] = whole(group, "sizes", np.int32)
@@ -285,7 +295,7 @@ def central_pairs(chunks: DataFrame) -> DataFrame:
         owner, gram, place = owner[once], gram[once], place[once]
         first = starts(gram)
         length = np.diff(np.append(first, len(gram)))
-        several = np.repeat(length > 1, length)
+        several = np.repeat((length > 1) | dealt, length)
         owner, gram, place = owner[several], gram[several], place[several]
         if not len(gram):
             return pd.DataFrame({n: [] for n in [*names, "key", "key2"]})
@@ -295,9 +305,9 @@ def central_pairs(chunks: DataFrame) -> DataFrame:
         n, n2 = sizes[owner], sizes[hub]
         ok = (hub != owner) & (np.minimum(n - place, n2 - at) >= least_common(n, n2))
         pairs = np.unique(np.minimum(owner, hub)[ok] * len(keys) + np.maximum(owner, hub)[ok])
-        # of short lists only those go on that may link with another one there
+        # of short lists only those go on that may link with another one there; in pieces of lists all do
         length = np.diff(np.append(first, len(gram)))[lists]
-        may = length > SHORT
+        may = (length > SHORT) | dealt
         for i, j in partners(np.where(may, 0, first[lists] + length - 1 - np.arange(len(gram)))):
             a, b = sizes[owner[i]], sizes[owner[j]]
             good = np.minimum(a - place[i], b - place[j]) >= least_common(a, b)
@@ -313,9 +323,9 @@ def central_pairs(chunks: DataFrame) -> DataFrame:
                 for column, x in zip(pieces, (gram[i:j], place[i:j].astype(np.int32), number.astype(np.int32), keys[used], sizes[used].astype(np.int32)), strict=True):
                     column.append(x.tobytes())
         m, k = len(pieces[0]), len(pairs)
-        at = lambda c: pd.array([int(group[c].iloc[0])] * m + [None] * k, dtype="Int32")
+        at = lambda c: pd.array([int(group[c].max())] * m + [None] * k, dtype="Int32")
         named = lambda i: [keys[j].tobytes() for j in i]
-        columns = [at("block"), at("part"), *[[*p, *[None] * k] for p in pieces]]
+        columns = [at("block"), at("part"), at("parts"), *[[*p, *[None] * k] for p in pieces]]
         both = {"key": [*[None] * m, *named(pairs // len(keys))], "key2": [*[None] * m, *named(pairs % len(keys))]}
         return pd.DataFrame({**dict(zip(names, columns, strict=True)), **both})
 
@@ -372,22 +382,27 @@ def merged_lists(chunks: DataFrame, known: DataFrame, others: bool) -> DataFrame
         n = sizes[owner]
         used, number = np.unique(leader[owner[first]], return_inverse=True)
         rows = [gram[first], number.astype(np.int32), leaders[used], roots[used], *[x.astype(np.int32) for x in (np.minimum.reduceat(n, first), np.maximum.reduceat(n, first), np.maximum.reduceat(n - place, first), np.minimum.reduceat(weight[owner], first))]]
-        return pd.DataFrame({k: [v] for k, v in zip(names, [int(left["block"].iloc[0]), *[x.tobytes() for x in rows]], strict=True)})
+        return pd.DataFrame({k: [v] for k, v in zip(names, [*(int(left[c].max()) for c in names[:3]), *[x.tobytes() for x in rows]], strict=True)})
 
     return chunks.groupBy("block", "part").cogroup(known.groupBy("of_block", "of_part")).applyInPandas(run, MERGED)
 
 
 def leader_pairs(merged: DataFrame) -> DataFrame:
-    """key, key2, required: leaders of different roots that a list's sizes and positions let link, or their likes, if they share so much."""
+    """key, key2, required: leaders of different roots that a list's sizes and positions let link, or their likes, if they share so much.
+
+    Each pair of parts of the lists that are dealt out is a task of its own.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        across = group["low_part"].iloc[0] < group["high_part"].iloc[0]
+        part = np.repeat(group["part"].to_numpy(np.int64), [len(g) // 8 for g in group["grams"]])
         keys, own, at = np.unique(whole(group, "keys", "V16"), return_index=True, return_inverse=True)
         own, at = at, own
         roots = np.unique(whole(group, "roots", "V16")[at], return_inverse=True)[1]
         who, gram = own[numbered(group, "leader", "keys")], whole(group, "grams", np.uint64)
         low, high, rest, weight = (whole(group, c, np.int32).astype(np.int64) for c in ("low", "high", "rest", "weight"))
         order = np.lexsort((low, gram))
-        who, gram, low, high, rest, weight = (x[order] for x in (who, gram, low, high, rest, weight))
+        who, gram, part, low, high, rest, weight = (x[order] for x in (who, gram, part, low, high, rest, weight))
         first = starts(gram)
         lists = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(gram))))
         # in a list by size, all that are too large stand behind an end
@@ -402,7 +417,7 @@ def leader_pairs(merged: DataFrame) -> DataFrame:
             codes, least = codes[o][f], least[o][f]
 
         for one, two in partners(count):
-            good = (roots[who[one]] != roots[who[two]]) & (np.minimum(rest[one], rest[two]) >= least_common(low[one], low[two]))
+            good = (roots[who[one]] != roots[who[two]]) & (np.minimum(rest[one], rest[two]) >= least_common(low[one], low[two])) & ((part[one] != part[two]) | (not across))
             one, two = one[good], two[good]
             x, y = np.minimum(who[one], who[two]), np.maximum(who[one], who[two])
             codes, least = np.concatenate([codes, x * len(keys) + y]), np.concatenate([least, -(-(weight[one] + weight[two]) // 7)])
@@ -411,7 +426,9 @@ def leader_pairs(merged: DataFrame) -> DataFrame:
         fewer()
         return pd.DataFrame({"key": [keys[i].tobytes() for i in codes // len(keys)], "key2": [keys[i].tobytes() for i in codes % len(keys)], "required": least})
 
-    found = merged.groupBy("block").applyInPandas(run, "key binary, key2 binary, required long")
+    others = F.explode(F.when(F.col("part") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), "parts"))).alias("other")
+    pairs = merged.select("*", others).withColumn("low_part", F.least("part", "other")).withColumn("high_part", F.greatest("part", "other")).drop("other")
+    found = pairs.groupBy("block", "low_part", "high_part").applyInPandas(run, "key binary, key2 binary, required long")
     return found.groupBy("key", "key2").agg(F.min("required").alias("required"))
 
 
