@@ -130,9 +130,9 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"), "rep").mapInArrow(run, kinds)
 
 
-def bit_table(numbers: DataFrame) -> np.ndarray:
-    """Bits set for each number of the single column, in a table of at most 2 ** MOST_BITS bits: four bits a number."""
-    count = numbers.count()
+def bit_table(numbers: DataFrame, count: int | None = None) -> np.ndarray:
+    """Bits set for each number of the single column, in a table of at most 2 ** MOST_BITS bits: four bits a number. Repeated numbers do no harm; ``count`` is how many there are, or more."""
+    count = numbers.count() if count is None else count
     size = 1 << min(MOST_BITS, max(10, (16 * count).bit_length()))
     c = numbers.columns[0]
     at = F.explode(F.array(*[F.expr(f"pmod(shiftright({c}, {11 * i}), {size})") for i in range(4)])).alias("at")
@@ -162,9 +162,9 @@ def wanted_only(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterato
     return slices(b.filter(pa.array(maybe(table, b.column(0).to_numpy()))) for b in batches)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, count: int | None = None) -> DataFrame:
     """key and hashes (packed) of the classes whose representatives' numbers ``wanted`` holds; texts are read again for it."""
-    table = bit_table(wanted)
+    table = bit_table(wanted, count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in wanted_only(batches, table):

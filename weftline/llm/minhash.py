@@ -138,7 +138,8 @@ def postings(classes: DataFrame, most: np.ndarray, several: np.ndarray, percent:
 def with_sketches(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """``pairs`` (key, key2) with n, n2, rep, rep2, s and s2. Only sketches of classes in pairs are shuffled, and maybe a few others."""
     number = lambda c: F.xxhash64(c)
-    table = bit_table(pairs.select(F.explode(F.array("key", "key2")).alias("k")).distinct().select(number("k").alias("number")))
+    both = pairs.select(number("key").alias("number")).unionByName(pairs.select(number("key2").alias("number")))
+    table = bit_table(both, 2 * pairs.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,8 +184,11 @@ def estimated(pairs: DataFrame, most: np.ndarray, percent: int) -> DataFrame:
 
 def verified(keep: Scratch, docs: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
     """key, key2 of those pairs whose whole sets link."""
-    left = compared.where("sure IS NULL").select("key", "key2", "n", "n2", "rep", "rep2")
-    sets = keep(sets_of(docs, left.select(F.explode(F.array("rep", "rep2")).alias("rep")).distinct()), "sets")
+    sure, left = compared.where("sure").select("key", "key2"), compared.where("sure IS NULL").select("key", "key2", "n", "n2", "rep", "rep2")
+    open_ = left.count()
+    if not open_:
+        return sure
+    sets = keep(sets_of(docs, left.select("rep").unionByName(left.select(F.col("rep2").alias("rep"))), 2 * open_), "sets")
     side = lambda k, x: sets.select(F.col("key").alias(k), F.col("hashes").alias(x))
     whole = left.join(side("kx", "x"), F.col("key") == F.col("kx")).join(side("ky", "y"), F.col("key2") == F.col("ky"))
 
@@ -195,7 +199,7 @@ def verified(keep: Scratch, docs: DataFrame, compared: DataFrame, percent: int)
             yield b.select(["key", "key2"]).filter(pa.array(100 * common >= percent * (both - common)))
 
     exact = whole.select("key", "key2", "n", "n2", "x", "y").mapInArrow(run, "key binary, key2 binary")
-    return keep(compared.where("sure").select("key", "key2").unionByName(exact), "verified")
+    return keep(sure.unionByName(exact), "verified")
 
 
 def needed(n: Column, n2: Column, percent: int) -> Column:
@@ -204,8 +208,18 @@ def needed(n: Column, n2: Column, percent: int) -> Column:
     return F.when((n <= K) & (n2 <= K), exact).otherwise(least_shared(K, percent))
 
 
+def may_link(rows: DataFrame, one: str, two: str, place: Column, percent: int) -> Column:
+    """Whether sizes and places in a list, of columns with these prefixes, let two members link."""
+    n, n2 = rows[f"{one}n"], rows[f"{two}n"]
+    left = F.least(rows[f"{one}m"] - rows[f"{one}place"], rows[f"{two}m"] - place)
+    return (100 * F.least(n, n2) >= percent * F.greatest(n, n2)) & (left >= needed(n, n2, percent))
+
+
 def pairs_across(members: DataFrame, percent: int) -> DataFrame:
-    """key, key2 of members of a list, in different groups, that sizes, places and what they hold of the central member's values let link."""
+    """key, key2 of members of a list, in different groups, that sizes, places and what they hold of the central member's values let link.
+
+    Members that can't link with the central one have no bits; nothing is known of their pairs then.
+    """
     names = ["key", "n", "m", "place", "root", "bits", "others"]
     a, b = (members.select("value", "first", *[F.col(c).alias(f"{x}_{c}") for c in names]) for x in "ab")
     b = b.drop("first")
@@ -218,19 +232,14 @@ def pairs_across(members: DataFrame, percent: int) -> DataFrame:
     earlier = F.lit(False)
     for i in range(WORDS_OF_BITS):
         earlier = earlier | (word(i).bitwiseAND(low(i)) != 0)
-    may = (
-        (c("a_key") < c("b_key"))
-        & (c("a_root") != c("b_root"))
-        & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-        & (F.least(c("a_m") - c("a_place"), c("b_m") - c("b_place")) >= need)
-        & ~earlier
-        & (shared + F.least("a_others", "b_others") >= need)
-    )
-    return a.join(b, ["value"]).where(may).select(c("a_key").alias("key"), c("b_key").alias("key2")).distinct()
-
-
-def links_of(keep: Scratch, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """key, key2: links by which all classes are reached that links reach."""
+    both = a.join(b, ["value"])
+    apart = (c("a_key") < c("b_key")) & (c("a_root") != c("b_root")) & may_link(both, "a_", "b_", c("b_place"), percent)
+    both = both.where(apart & F.coalesce(~earlier & (shared + F.least("a_others", "b_others") >= need), F.lit(True)))
+    return both.select(c("a_key").alias("key"), c("b_key").alias("key2")).distinct()
+
+
+def links_of(keep: Scratch, docs: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Groups of classes (node, root) that links with central members join, and further links (key, key2), by which all classes are reached that links reach."""
     total = classes.agg(F.coalesce(F.sum(F.length("sketch")) / 8, F.lit(0)).cast("long")).first()[0]
     shared = keep(shared_values(classes, max(12, -(-total // BLOCK))), "values")
     rows = shared.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "value").limit(MOST_FREQUENT).collect()
@@ -239,10 +248,11 @@ def links_of(keep: Scratch, docs: DataFrame, classes: DataFrame, percent: int) -
     most.sort(order="value")
 
     listed = keep(postings(classes, most, bit_table(shared.select("value")), percent), "postings")
-    central = F.max(F.struct("central", "m", "key", "place")).alias("c")
-    hubs = listed.groupBy("value").agg(F.count("*").alias("rows"), central).where("rows > 1").select("value", F.col("c.key").alias("hub"), F.col("c.place").alias("first"))
+    central = F.max(F.struct("central", "m", "key", "place", "n")).alias("c")
+    facts = [F.col(f"c.{c}").alias(f"hub_{c}") for c in ("n", "m")]
+    hubs = listed.groupBy("value").agg(F.count("*").alias("rows"), central).where("rows > 1").select("value", F.col("c.key").alias("hub"), F.col("c.place").alias("first"), *facts)
     members = keep(listed.join(hubs, "value"), "members")
-    pairs = keep(members.where("key <> hub").select("key", F.col("hub").alias("key2")).distinct(), "stars")
+    pairs = keep(members.where(F.col("key") != F.col("hub")).where(may_link(members, "", "hub_", F.col("first"), percent)).select("key", F.col("hub").alias("key2")).distinct(), "stars")
     stars = keep(estimated(with_sketches(classes, pairs), most, percent), "compared")
     links = verified(keep, docs, stars, percent)
     groups = keep(components(links.select(F.col("key").alias("a"), F.col("key2").alias("b")), keep), "groups")
@@ -254,10 +264,11 @@ def links_of(keep: Scratch, docs: DataFrame, classes: DataFrame, percent: int) -
     # the central member holds all of its own values
     every = F.array(*[F.when(F.col("m") >= 64 * (i + 1), F.lit(-1).cast("long")).when(F.col("m") <= 64 * i, F.lit(0).cast("long")).otherwise(F.expr(f"~shiftleft(-1L, m - {64 * i})")) for i in range(WORDS_OF_BITS)])
     left = left.join(stars.select("key", F.col("key2").alias("hub"), "bits", "others"), ["key", "hub"], "left")
-    left = keep(left.withColumn("bits", F.coalesce("bits", every)).withColumn("others", F.coalesce("others", F.lit(0))), "mixed")
+    central = F.col("key") == F.col("hub")
+    left = keep(left.withColumn("bits", F.when(central, every).otherwise(F.col("bits"))).withColumn("others", F.when(central, 0).otherwise(F.col("others"))), "mixed")
     more = pairs_across(left, percent).join(pairs.select(F.least("key", "key2").alias("key"), F.greatest("key", "key2").alias("key2")), ["key", "key2"], "left_anti")
     answers = keep(estimated(with_sketches(classes, keep(more, "pairs")), most, percent), "compared")
-    return links.unionByName(verified(keep, docs, answers, percent))
+    return groups, verified(keep, docs, answers, percent)
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -275,15 +286,19 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pe
     result = Scratch(docs.sparkSession)
     with Scratch(docs.sparkSession) as keep:
         every = keep(described(docs), "texts")
-        base = result(every.select("doc_id", "n", "key"), "sizes")
         least = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "rep", "n", "sketch"))
         classes = keep(every.where("n > 0").groupBy("key").agg(least.alias("c")).select("key", "c.id", "c.rep", "c.n", "c.sketch"), "classes")
-        links = links_of(keep, docs, classes, percent)
-        node = lambda k, x: classes.select(F.col("key").alias(k), F.struct("id", "key").alias(x))
-        edges = links.join(node("key", "a"), "key").join(node("key2", "b"), "key2").select("a", "b")
-        reached = components(edges, keep).select(F.col("node.key").alias("key"), F.col("root.id").alias("root"))
-        labels = result(classes.select("key", "id").join(reached, "key", "left").select(F.col("key").alias("label_key"), F.coalesce("root", "id").alias("root")), "labels")
-    out = base.join(labels, base["key"] == labels["label_key"], "left")
-    own = F.coalesce("root", "doc_id")
-    component = F.when(own != NO_ID, own)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+        groups, links = links_of(keep, docs, classes, percent)
+        # only the groups' roots take part in the second round
+        own = lambda k, x: groups.select(F.col("node").alias(k), F.col("root").alias(x))
+        over = links.join(own("key", "a"), "key", "left").join(own("key2", "b"), "key2", "left").select(F.coalesce("a", "key").alias("a"), F.coalesce("b", "key2").alias("b"))
+        more = components(over, keep).select(F.col("node").alias("of"), F.col("root").alias("top"))
+        named = classes.select("key", "id").join(own("node", "first"), F.col("key") == F.col("node"), "left").withColumn("first", F.coalesce("first", "key"))
+        named = keep(named.join(more, F.col("first") == F.col("of"), "left").select("key", "id", F.coalesce("top", "first").alias("group")), "named")
+        least_ids = named.groupBy("group").agg(F.min("id").alias("root"), F.count("*").alias("classes")).where("classes > 1").select(F.col("group").alias("g"), "root")
+        labels = named.join(least_ids, F.col("group") == F.col("g"), "left").select(F.col("key").alias("label_key"), F.coalesce("root", "id").alias("root"))
+        base = every.select("doc_id", "n", "key")
+        out = base.join(labels, base["key"] == labels["label_key"], "left")
+        own_id = F.coalesce("root", "doc_id")
+        component = F.when(own_id != NO_ID, own_id)
+        return result(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept")), "groups")
