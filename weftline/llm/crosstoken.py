@@ -18,7 +18,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.bpe import LONGEST_KEPT
 from weftline.llm.common import Scratch, slices, small_batches
 from weftline.llm.packing import ByteLevelFile, byte_letters
 
@@ -26,27 +25,9 @@ from weftline.llm.packing import ByteLevelFile, byte_letters
 MOST_PAIRS = 1 << 20
 #: Distinct pairs that a task counts together, about, and parts that each pair's counts are added up in at first.
 COUNTED, SALTS = 2_000_000, 16
-#: Words between spaces whose ids a worker keeps.
-MOST_CHUNKS = 150_000
 MARK = "▁"
 
 
-class Words(dict):
-    """The ids of words, made once; all are dropped when there are too many, and long ones are never kept."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, word: str) -> bytes:
-        value = self.make(word)
-        if len(word) <= LONGEST_KEPT:
-            if len(self) >= MOST_CHUNKS:
-                self.clear()
-            self[word] = value
-        return value
-
-
 class LetterFile(ByteLevelFile):
     """A file of byte-level BPE, with each id's bytes; strings of special tokens are plain text."""
 
@@ -58,9 +39,16 @@ class LetterFile(ByteLevelFile):
         added = {t.content for t in self.own.get_added_tokens_decoder().values()}
         self.bytes_of = {v: k.encode() if k in added else bytes(letters[c] for c in k) for k, v in self.own.get_vocab(with_added_tokens=True).items()}
 
+    def tokens(self, text: str) -> np.ndarray | None:
+        """The ids of a text, which is encoded whole; None if their bytes aren't the text's."""
+        if self.fast and not any(m in text for m in self.marks):
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)  # every byte has an id, so nothing can be lost
+        ids = self.own.encode(text, add_special_tokens=False).ids
+        return np.array(ids, np.int64) if b"".join(map(self.bytes_of.__getitem__, ids)) == text.encode() else None
+
 
 class PieceFile:
-    """A ``sentencepiece`` model, with each id's bytes. Ids of words between lone spaces are kept if no piece reaches over such a space."""
+    """A ``sentencepiece`` model, with each id's bytes."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -68,17 +56,11 @@ class PieceFile:
         self.own = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.own.id_to_piece(i) for i in range(self.own.get_piece_size())]
         self.bytes_of = {i: bytes([int(p[3:5], 16)]) if self.own.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)}
-        # a text whose white space the model would change has other bytes and no tokens
-        apart = not any(MARK in p.lstrip(MARK) for p in pieces) and self.own.encode("a  b ", out_type=str) == [f"{MARK}a", MARK, f"{MARK}b", MARK]
-        self.cache = Words(self.make) if apart else None
-
-    def make(self, text: str) -> bytes:
-        return np.array(self.own.encode(text, num_threads=1), "<u4").tobytes()
 
-    def ids(self, text: str) -> bytes:
-        if self.cache is None or text != text.strip(" ") or "  " in text or MARK in text:
-            return self.make(text)
-        return b"".join(map(self.cache.__getitem__, text.split(" ")))
+    def tokens(self, text: str) -> np.ndarray | None:
+        """The ids of a text, which is encoded whole; None if their bytes aren't a space and the text."""
+        ids = self.own.encode(text, num_threads=1)
+        return np.array(ids, np.int64) if b"".join(map(self.bytes_of.__getitem__, ids)) == b" " + text.encode() else None
 
 
 def expanded(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,20 +70,19 @@ def expanded(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return row, low[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
 
 
-def aligned(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The common cuts of tokens of these sizes in bytes, and the group of each token on either side."""
-    a, b = np.cumsum(a_sizes), np.cumsum(b_sizes)
-    common = np.intersect1d(a, b)
+def aligned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The common cuts of tokens that end at these bytes, and the group of each token on either side. No token is empty, so ends are distinct."""
+    common = np.intersect1d(a, b, assume_unique=True)
     return common, np.searchsorted(common, a), np.searchsorted(common, b)
 
 
-def links(a_sizes: np.ndarray, b_sizes: np.ndarray, kind: str = "end") -> tuple[np.ndarray, np.ndarray]:
-    """Places of linked tokens: those that end together (``end``), or that share a byte (``overlap``)."""
-    a, b = np.cumsum(a_sizes), np.cumsum(b_sizes)
+def links(a: np.ndarray, b: np.ndarray, kind: str = "end") -> tuple[np.ndarray, np.ndarray]:
+    """Places of linked tokens, given where tokens end: those that end together (``end``), or that share a byte (``overlap``)."""
     if kind == "end":
         return expanded(np.searchsorted(b, a, "left"), np.searchsorted(b, a, "right"))
     if kind == "overlap":
-        return expanded(np.searchsorted(b, a - a_sizes, "right"), np.searchsorted(b - b_sizes, a, "left"))
+        starts = lambda ends: np.concatenate([[0], ends[:-1]])
+        return expanded(np.searchsorted(b, starts(a)[: len(a)], "right"), np.searchsorted(starts(b)[: len(b)], a, "left"))
     raise ValueError(f"no such kind of links: {kind}")
 
 
@@ -110,23 +91,16 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str, pattern: str):
         self.a, self.b = LetterFile(a_path, pattern), PieceFile(b_path)
-        self.sizes, self.bytes, self.names = [], [], []
+        self.sizes, self.names = [], []
         for own, ends in ((self.a, "|"), (self.b, ";")):
             most = max(own.bytes_of) + 1
-            data = [own.bytes_of.get(i, b"") for i in range(most)]
-            self.bytes.append(data)
-            self.sizes.append(np.array([*map(len, data)]))
-            self.names.append([f"{i},".encode() for i in range(most)] + [f"{i}{ends}".encode() for i in range(most)])
+            self.sizes.append(np.array([len(own.bytes_of.get(i, b"")) for i in range(most)]))
+            self.names += [f"{i},".encode() for i in range(most)] + [f"{i}{ends}".encode() for i in range(most)]
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids on either side; none if either side's bytes aren't a space and the text."""
-        if text:
-            want = b" " + text.encode("utf-8", "surrogatepass")
-            a = np.frombuffer(self.a.ids(" " + text), self.a.kind).astype(np.int64)
-            if b"".join(map(self.bytes[0].__getitem__, a.tolist())) == want:
-                b = np.frombuffer(self.b.ids(text), "<u4").astype(np.int64)
-                if b"".join(map(self.bytes[1].__getitem__, b.tolist())) == want:
-                    return a, b
+        if text and (b := self.b.tokens(text)) is not None and (a := self.a.tokens(" " + text)) is not None:
+            return a, b
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def digest(self, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray) -> str:
@@ -134,10 +108,11 @@ class Aligner:
         if not len(a):
             return ""
         last = lambda g: np.append(g[1:] != g[:-1], True)
-        parts = np.empty(len(a) + len(b), object)
-        for ids, group, names, at in ((a, a_group, self.names[0], np.searchsorted(b_group, a_group, "left")), (b, b_group, self.names[1], np.searchsorted(a_group, b_group, "right"))):
-            parts[np.arange(len(ids)) + at] = [*map(names.__getitem__, (ids + last(group) * (len(names) // 2)).tolist())]
-        return hashlib.sha256(b"".join(parts.tolist())[:-1]).hexdigest()
+        many, more = map(len, self.sizes)
+        at = np.empty(len(a) + len(b), np.int64)
+        at[np.arange(len(a)) + np.searchsorted(b_group, a_group, "left")] = a + last(a_group) * many
+        at[np.arange(len(b)) + np.searchsorted(a_group, b_group, "right")] = 2 * many + b + last(b_group) * more
+        return hashlib.sha256(b"".join(map(self.names.__getitem__, at.tolist()))[:-1]).hexdigest()
 
 
 @lru_cache(maxsize=2)
@@ -158,9 +133,9 @@ def described(docs: DataFrame, a_path: str, b_path: str, pattern: str, kind: str
             out: list[list] = [[] for _ in names[2:]]
             for text in part.column(1).to_pylist():
                 a, b = both.tokens(text or "")
-                a_sizes, b_sizes = both.sizes[0][a], both.sizes[1][b]
-                common, a_group, b_group = aligned(a_sizes, b_sizes)
-                i, j = links(a_sizes, b_sizes, kind)
+                a_ends, b_ends = np.cumsum(both.sizes[0][a]), np.cumsum(both.sizes[1][b])
+                common, a_group, b_group = aligned(a_ends, b_ends)
+                i, j = links(a_ends, b_ends, kind)
                 pairs, times = np.unique(a[i] << 32 | b[j], return_counts=True)
                 for column, x in zip(out, (len(a), len(b), len(common), len(i), both.digest(a, b, a_group, b_group), pairs.tobytes(), times.astype("<u4").tobytes()), strict=True):
                     column.append(x)
