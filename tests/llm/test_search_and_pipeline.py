@@ -34,6 +34,40 @@ def test_recall_and_scores(spark, tables):
     assert hits / total >= 0.9
 
 
+def of_tables(spark, tables, **how):
+    """Recall of a search of a given table, with these parameters."""
+    e = spark.read.parquet(f"{tables}/embeddings.parquet")
+    rows = e.orderBy("vec_id").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    got = {(r["query_id"], r["vec_id"]) for r in ann.search(e, F.col("vec_id") % 20 == 0, k=20, **how).collect()}
+    want = {(q, v) for q, near, _ in brute(ids, x, 20, ids % 20 == 0) for v in near.tolist()}
+    return len(got & want) / len(want), len(got) / len(want)
+
+
+@pytest.mark.parametrize("floor", [0, 8 << 20])
+def test_lists_alone_give_the_answers(spark, monkeypatch, floor):
+    """The sample is a quarter of the table; without lists nothing is found."""
+    tables = TABLES.replace("0.001", "0.1")
+    monkeypatch.setattr(ann, "FLOOR_BYTES", floor)
+    recall, share = of_tables(spark, tables, sample_rows=500, list_rows=40)
+    assert recall >= 0.9 and share == 1
+    monkeypatch.setattr(ann, "matched", lambda dealt, *_: dealt.sparkSession.createDataFrame([], ann.FOUND))
+    assert of_tables(spark, tables, sample_rows=500, list_rows=40) == (0, 0)
+
+
+def test_queries_that_find_too_few_read_all_lists(spark, monkeypatch):
+    monkeypatch.setattr(ann, "bounds", lambda *_: (1, 1.0))
+    monkeypatch.setattr(ann, "least_probes", lambda *_: 1)
+    recall, share = of_tables(spark, TABLES, sample_rows=500, list_rows=10)
+    assert share == 1 and recall > 0.3
+
+
+def test_partial_answers_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(ann, "MERGED", 2)
+    rng = np.random.default_rng(3)
+    assert recall(spark, rng.normal(size=(1500, 16)), 50, parts=7) >= 0.9
+
+
 def test_odd_vectors(spark):
     rows = [(i, [float(i % 7), 1.0, float(i % 3)], "a") for i in range(60)]
     rows += [(100, None, "b"), (120, [0.0, 0.0, 0.0], "c"), (140, [1.0, None, 2.0], "d"), (160, [1.0, float("nan"), 0.0], "e"), (180, [float("inf"), 0.0, 0.0], "f"), (200, [1.0, 2.0], "g"), (None, [1.0, 1.0, 1.0], "h"), rows[0]]

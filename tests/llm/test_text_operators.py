@@ -219,6 +219,29 @@ def test_jaccard_near_the_threshold(spark, block):
     assert got == {i: least[g] for (i, _), g in zip(rows, groups, strict=True)} and len({*groups}) < len(rows)
 
 
+@pytest.mark.parametrize("block", [10, 60, 300, jaccard.BLOCK])
+def test_jaccard_of_much_repeated_texts(spark, block):
+    """Lists dealt out in parts lose no link: texts on 40 rows each, with lone near copies."""
+    rng, rows = random.Random(8), []
+    word = lambda: f"v{rng.randrange(100_000)}"
+    boiler = [word() for _ in range(40)]
+    for k in range(60):
+        base = boiler + [word() for _ in range(rng.choice((3, 30, 60)))]
+        near = base[:]
+        near[rng.randrange(len(near))] = word()
+        rows += [(1000 * k + j, " ".join(base)) for j in range(1, 41)] + [(1000 * k + rng.choice((0, 900)), " ".join(near))]
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), block=block).collect()}
+    distinct = {}
+    for i, t in rows:
+        distinct[t] = min(distinct.get(t, i), i)
+    groups, least = shingle_groups([(i, t) for t, i in distinct.items()]), {}
+    for i, g in zip(distinct.values(), groups, strict=True):
+        least[g] = min(least.get(g, i), i)
+    of = {t: least[g] for t, g in zip(distinct, groups, strict=True)}
+    assert got == {i: of[t] for i, t in rows}
+
+
 def test_jaccard_of_odd_rows(spark):
     docs = edge_docs(spark)
     got = jaccard.join(docs).collect()

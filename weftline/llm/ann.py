@@ -7,7 +7,8 @@ much further than the nearest one. How many and how much further is measured: so
 with all vectors, and of the bounds by which enough of their true neighbours are found, those that
 read least are taken. Lists are then matched with their queries as ordinary groups, a long list or one
 with many queries in blocks. Of equal vectors no more than could be found go on, and of what a list
-holds only what scores no less than the query's k-th best of the sample, whose k best are found already. Inner products become distances by one more
+holds only what scores no less than the k-th best of those sample vectors that stand in the query's own lists. A
+query that finds fewer than it asks for reads all lists. Inner products become distances by one more
 component, which makes all candidates equally long; a query's is 0, and its length makes no difference.
 """
 
@@ -30,13 +31,16 @@ SAMPLE_ROWS, LIST_ROWS, SAMPLE_A_LIST = 20_000, 400, 5
 REPLICAS, REPLICA_RATIO = 2, 1.06
 #: So many queries (those of least hash) are compared with all vectors; they must find this share of their true neighbours.
 TRIALS, RECALL = 64, 0.95
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
+BLOCK_ROWS, BLOCK_QUERIES = 8192, 4096
 NEIGHBOURS, BEAM, ENTRIES = 16, 12, 32
 #: Bytes of the sample that queries are scored against to learn the least score that can count.
 FLOOR_BYTES = 8 << 20
+#: Partial answers of trial queries that a task merges.
+MERGED = 256
 #: Inner products by matrix multiplication are off by less than this, of the product of lengths.
 SLACK = 1e-11
 FOUND = "query_id long, vec_id long, score double"
+DEALT = "list int, role boolean, id long, v binary, floor double"
 
 
 class Graph(NamedTuple):
@@ -168,28 +172,32 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, id_col: str = "
 
 def of_one_size(v: DataFrame, dim: int, n: int, longest: float, k: int, sample_rows: int, list_rows: int, recall: float, single: bool) -> DataFrame:
     """query_id, vec_id, score: the best of each query in each list that it reads."""
-    rows = v.orderBy(F.xxhash64("v"), "vec_id").limit(sample_rows).select("vec_id", "v").collect()
-    sample, sample_ids = np.array([r["v"] for r in rows]), np.array([r["vec_id"] for r in rows])
+    rows = packed(v.orderBy(F.xxhash64("v"), "vec_id").limit(sample_rows)).collect()
+    sample_ids, sample = np.frombuffer(b"".join(r["id"] for r in rows), np.int64), np.frombuffer(b"".join(r["v"] for r in rows)).reshape(-1, dim)
     lists = int(max(1, min(n // list_rows, len(sample) // SAMPLE_A_LIST)))
     graph = build(sample, lists, float(longest))
     probes, ratio = bounds(v, graph, dim, k, recall)
-    some_ids, first = np.unique(sample_ids, return_index=True)
+    _, first = np.unique(sample_ids, return_index=True)
     first = np.sort(first)[: FLOOR_BYTES // (8 * dim)]
     first = first[fewest(sample_ids[first], sample[first], k)]
     some_ids, some = sample_ids[first], sample[first]
+    stands, joins = graph.members(some)
 
-    def floors(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Of each query, the k-th best score among the sample's others: no candidate below it can be among its k."""
+    def floors(ids: np.ndarray, x: np.ndarray, read: np.ndarray) -> np.ndarray:
+        """Of each query, the k-th best score among the sample's others in the lists it reads: no candidate below it can be among its k."""
         if len(some) <= k:
             return np.full(len(x), -np.inf)
         s = x @ some.T
-        s[ids[:, None] == some_ids] = -np.inf
+        there = np.zeros(s.shape, bool)
+        for c in range(stands.shape[1]):
+            there |= read[:, stands[:, c]] & joins[:, c]
+        s[~there | (ids[:, None] == some_ids)] = -np.inf
         return np.partition(s, len(some) - k, 1)[:, len(some) - k]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                b = whole.slice(at, 2048)
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
                 ids, q = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
                 few = fewest(ids, x, k)
@@ -198,20 +206,42 @@ def of_one_size(v: DataFrame, dim: int, n: int, longest: float, k: int, sample_r
                     ids, x = ids[q], x[q]
                     found, far = graph.search(graph.routed(x), probes)
                     wanted = ((far <= ratio * np.maximum(far[:, :1], 1e-300)) | (np.arange(found.shape[1]) < least_probes(k, list_rows))) & np.isfinite(far)
-                    yield dealt_rows(True, found, wanted, ids, x, floors(ids, x), single)
-
-    dealt = kept(v.mapInArrow(assign, "list int, role boolean, id long, v binary, floor double"), "lists")
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                x, ids = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim), b.column(0).to_numpy(zero_copy_only=False)
-                s = x @ some.T
-                s[ids[:, None] == some_ids] = -np.inf
-                i, j = np.nonzero((s >= (floors(ids, x) - SLACK * float(longest) * np.sqrt((x**2).sum(1)))[:, None]) & np.isfinite(s))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(some_ids[j]), pa.array((x[i] * some[j]).sum(1))], ["query_id", "vec_id", "score"])
-
-    return matched(dealt, dim, k, float(longest), single).unionByName(v.where("q").select("vec_id", "v").mapInArrow(sampled, FOUND))
+                    read = np.zeros((len(x), len(graph.centroids)), bool)
+                    r, c = np.nonzero(wanted)
+                    read[r, found[r, c]] = True
+                    yield dealt_rows(True, found, wanted, ids, x, floors(ids, x, read), single)
+
+    def everywhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = np.arange(len(graph.centroids))
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                found = np.broadcast_to(every, (len(x), len(every)))
+                yield dealt_rows(True, found, np.ones(found.shape, bool), part.column(0).to_numpy(zero_copy_only=False), x, np.full(len(x), -np.inf), single)
+
+    dealt = kept(v.mapInArrow(assign, DEALT), "lists")
+    found = matched(dealt, dim, k, float(longest), single)
+    if probes >= len(graph.centroids) and not np.isfinite(ratio):
+        return found
+    found = kept(found, "found")
+    enough = found.select("query_id", "vec_id").distinct().groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    short = v.where("q").join(enough, F.col("vec_id") == F.col("query_id"), "left_anti").select("vec_id", "v")
+    more = kept(short.mapInArrow(everywhere, DEALT), "short")
+    if more.isEmpty():
+        return found
+    return found.unionByName(matched(dealt.where("NOT role").unionByName(more), dim, k, float(longest), single))
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """Ids and vectors of the rows, each batch as one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, x = (c.to_numpy(zero_copy_only=False).tobytes() for c in (b.column(0), b.column(1).flatten()))
+            yield pa.RecordBatch.from_arrays([pa.array([ids], pa.binary()), pa.array([x], pa.binary())], ["id", "v"])
+
+    return rows.select("vec_id", "v").mapInArrow(run, "id binary, v binary")
 
 
 def least_probes(k: int, list_rows: int) -> int:
@@ -256,7 +286,7 @@ def bounds(v: DataFrame, graph: Graph, dim: int, k: int, recall: float) -> tuple
         return [np.take_along_axis(a, top, 1) for a in (ids, scores, *(np.take_along_axis(o, at, 1) for o in others))]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, scores, kept = np.zeros((len(x), 0), np.int64), np.zeros((len(x), 0)), np.zeros((0, dim))
+        ids, scores, held = np.zeros((len(x), 0), np.int64), np.zeros((len(x), 0)), np.zeros((0, dim))
         which = np.zeros((len(x), 0), np.int64)
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
@@ -266,21 +296,42 @@ def bounds(v: DataFrame, graph: Graph, dim: int, k: int, recall: float) -> tuple
                 s[own[:, None] == new] = -np.inf
                 n = min(k, len(new))
                 top = np.argpartition(-s, n - 1, 1)[:, :n]
-                ids, scores, which = best(np.concatenate([ids, new[top]], 1), np.concatenate([scores, np.take_along_axis(s, top, 1)], 1), np.concatenate([which, top + len(kept)], 1))
+                ids, scores, which = best(np.concatenate([ids, new[top]], 1), np.concatenate([scores, np.take_along_axis(s, top, 1)], 1), np.concatenate([which, top + len(held)], 1))
                 used, which = np.unique(which, return_inverse=True)
-                kept, which = np.concatenate([kept, y])[used], which.reshape(ids.shape)
-        if not len(kept):
+                held, which = np.concatenate([held, y])[used], which.reshape(ids.shape)
+        if not len(held):
             return
-        parts = [graph.members(kept[i : i + 1024]) for i in range(0, len(kept), 1024)]
+        parts = [graph.members(held[i : i + 1024]) for i in range(0, len(held), 1024)]
         found, member = (np.concatenate(p) for p in zip(*parts, strict=True))
         found, member = found[which], member[which]
         places = np.where(member, place[rows[:, :, None], found], lists)
         first = np.take_along_axis(found, places.argmin(2)[:, :, None], 2)[:, :, 0]
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (ids, scores, places.min(2).astype(np.int32), further[rows, first])], ["ids", "scores", "places", "further"])
 
-    found = v.select("vec_id", "v").mapInArrow(compare, "ids binary, scores binary, places binary, further binary").collect()
     kinds = {"ids": np.int64, "scores": np.float64, "places": np.int32, "further": np.float32}
-    _, scores, places, further = best(*(np.concatenate([np.frombuffer(r[n], t).reshape(len(x), -1) for r in found], 1) for n, t in kinds.items()))
+
+    def together(rows: list[dict]) -> list[np.ndarray]:
+        return best(*(np.concatenate([np.frombuffer(r[n], t).reshape(len(x), -1) for r in rows], 1) for n, t in kinds.items()))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for b in batches:
+            for at in range(0, b.num_rows, MERGED):
+                held += b.slice(at, MERGED).to_pylist()
+                held = [{n: a.astype(t).tobytes() for (n, t), a in zip(kinds.items(), together(held), strict=True)}]
+        if held:
+            yield pa.RecordBatch.from_pylist(held, pa.schema([(n, pa.binary()) for n in kinds]))
+
+    schema = ", ".join(f"{n} binary" for n in kinds)
+    partial = v.select("vec_id", "v").mapInArrow(compare, schema)
+    tasks = v.rdd.getNumPartitions()
+    while tasks > MERGED:
+        tasks = -(-tasks // MERGED)
+        partial = partial.repartition(tasks).mapInArrow(merge, schema)
+    found = [r.asDict() for r in partial.collect()]
+    if not found:
+        return lists, float("inf")
+    _, scores, places, further = together(found)
     real = np.isfinite(scores)
     places, further = places[real], further[real]
     if not len(places):
