@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import content_words, tokens
+from weftline.operators.select import before
+from weftline.sources.shared import kept
 
 K1, B, EPSILON, RRF = 1.5, 0.75, 0.25, 60
 
@@ -52,6 +54,28 @@ def fused(signals: DataFrame, first: str, second: str, k: int) -> DataFrame:
     return best(both, ["query_id"], [F.desc("score"), F.col("r1")], k).select("query_id", "rank", "id", "score")
 
 
+def fused_with_order(queries: DataFrame, scored: DataFrame, allowed: DataFrame, order: str, k: int) -> DataFrame:
+    """Reciprocal-rank fusion of each query's scores (query_id, id, score) with an order that all queries share (allowed: id and ``order``, ascending).
+
+    All allowed rows are candidates of each query; those without a positive score follow by id. They needn't be
+    paired: beyond the first 60 + 2k by either order, such a row scores less than the k first by the shared one.
+    So the shared order is ranked once, and a query is joined with its own hits and with these first rows only.
+    """
+    ranked = kept(before(allowed.select("id", order, F.lit(0).alias("all")), "all", [order, "id"], name="r2").select("id", "r2"), "ranked")
+    ranked = kept(before(ranked.withColumn("all", F.lit(0)), "all", ["id"], name="by_id").select("id", "r2", "by_id"), "ranked")
+    hits = scored.where("score > 0").join(ranked, "id").select("query_id", "id", "score", "r2", "by_id")
+    few = ranked.where((F.col("r2") < RRF + 2 * k) | (F.col("by_id") < RRF + 2 * k))  # twice that many rows
+    others = queries.select("query_id").crossJoin(F.broadcast(few)).join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    rows = hits.unionByName(others, allowMissingColumns=True)
+    own = Window.partitionBy("query_id")
+    # hits by score; of the others, the hits, and those of smaller id that are none
+    hit = F.col("score").isNotNull()
+    smaller = F.col("by_id") - F.count("score").over(own.orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("r1", F.when(hit, F.row_number().over(own.orderBy(F.col("score").desc_nulls_last(), "id")) - 1).otherwise(F.count("score").over(own) + smaller))
+    rows = rows.withColumn("score", F.round(1 / (RRF + F.col("r1")) + 1 / (RRF + F.col("r2")), 9))
+    return best(rows, ["query_id"], [F.desc("score"), F.col("r1")], k).select("query_id", "rank", "id", "score")
+
+
 def tfidf(docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", category: str = "lang") -> DataFrame:
     """query_id, id, score: cosine of content words weighted ln(N/df), within the query's category and without the documents it excludes.
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from weftline.functions import stats
 from weftline.functions.text import content_words
+from weftline.operators.select import tied_ranks
 from weftline.plans.retrieval import CONTENT_SQL
 from weftline.registry import query, table
+from weftline.sources.shared import kept
 
 
 @query("SELECT 'lang' AS facet, lang AS value, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM documents WHERE source IS NOT NULL GROUP BY 2")
@@ -53,9 +55,13 @@ def a12_f1_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SCORED}, t AS (SELECT unnest(range(1, 20)) AS step), c AS (SELECT step, {COUNTS.format('score >= step * 0.05')} FROM s, t GROUP BY 1), f AS (SELECT step, {PRF} FROM c)
 SELECT step, precision, recall, f1, step = (SELECT min(step) FROM f WHERE f1 = (SELECT max(f1) FROM f)) AS best FROM f""")
 def r13_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1 at each threshold; the first of the best, as rounded, is marked. Scores are counted once, by the number of thresholds they reach."""
-    steps = F.explode(F.sequence(F.lit(1), F.lit(19))).alias("step")
-    per = scored(spark, sf_dir).select("score", "quality", steps).groupBy("step").agg(*counted(F.col("score") >= F.col("step") * F.lit(0.05).cast("decimal(3,2)")))
+    """F1 at each threshold; the first of the best, as rounded, is marked. Rows are counted once, by the number of thresholds they reach; 20 counts are then added up."""
+    reached = F.size(F.filter(F.sequence(F.lit(1), F.lit(19)), lambda i: F.col("score") >= i * F.lit(0.05).cast("decimal(3,2)")))
+    right = F.col("quality") == 1
+    counts = scored(spark, sf_dir).groupBy(reached.alias("reached")).agg(F.count_if(right).alias("yes"), F.count_if(~right).alias("no"))
+    steps = spark.range(1, 20).select(F.col("id").cast("int").alias("step"))
+    at_least = lambda c: F.coalesce(F.sum(F.when(F.col("reached") >= F.col("step"), F.col(c))), F.lit(0))
+    per = steps.join(F.broadcast(counts)).groupBy("step").agg(at_least("yes").alias("tp"), at_least("no").alias("fp"), (F.sum("yes") - at_least("yes")).alias("fn"))  # 20 rows
     f = per.select("step", *rounded_prf())
     best = F.first("step").over(Window.partitionBy().orderBy(F.desc("f1"), "step"))
     return f.withColumn("best", F.col("step") == best)
@@ -105,8 +111,8 @@ RANKED = """r AS (SELECT lang, n_chars, quality, rank() OVER (PARTITION BY lang
 @query(f"WITH {RANKED} SELECT lang, count(*) AS n, round(coalesce(covar_pop(n_chars, quality) / nullif(stddev_pop(n_chars) * stddev_pop(quality), 0), 0), 6) AS pearson, round(coalesce(covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0), 0), 6) AS spearman FROM r GROUP BY 1")
 def m14_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
-    shared = lambda c: F.rank().over(Window.partitionBy("lang").orderBy(c)) + (F.count("*").over(Window.partitionBy("lang", c)) - 1) / 2
-    r = d.withColumn("rx", shared("n_chars")).withColumn("ry", shared("quality"))
+    d = kept(d, "ranked")
+    r = d.where("lang IS NOT NULL").join(tied_ranks(d, "lang", "n_chars", "rx"), ["lang", "n_chars"]).join(tied_ranks(d, "lang", "quality", "ry"), ["lang", "quality"])
     return r.groupBy("lang").agg(F.count("*").alias("n"), F.round(stats.correlation("n_chars", "quality"), 6).alias("pearson"), F.round(stats.correlation("rx", "ry"), 6).alias("spearman"))
 
 

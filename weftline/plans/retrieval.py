@@ -5,12 +5,13 @@ The latter (w02, a13) are tokens 5 to 16 of the documents whose id is divisible
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.text import content_words, tokens
-from weftline.operators import search
+from weftline.operators import index, likeness, passages, search
 from weftline.registry import query, table
+from weftline.sources.shared import kept
 
 BM25_SQL = """
 tok AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
@@ -33,7 +34,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ITEMS_SQL}, {BM25_SQL} {TOPK_SQL.format('bm', 10)}")
 def r01_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25_topk(table(spark, sf_dir, "documents"), items(spark, sf_dir))
+    """The kept index answers; only its terms' buckets are read, and of these the blocks that can count."""
+    return index.table_index(spark, sf_dir).top(items(spark, sf_dir), 10)
 
 
 FILTERED_SQL = "(SELECT bm.* FROM bm JOIN documents ON id = doc_id WHERE lang = 'fr' AND contains(lower(source), '1'))"
@@ -44,7 +46,7 @@ def p03_filtered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters (an equality and a case-insensitive part of a name) choose candidates; statistics stay those of all documents."""
     docs = table(spark, sf_dir, "documents")
     allowed = docs.where((F.col("lang") == "fr") & F.lower("source").contains("1")).select(F.col("doc_id").alias("id"))
-    scored = search.bm25(docs, items(spark, sf_dir)).join(allowed, "id", "left_semi")
+    scored = index.table_index(spark, sf_dir).scores(items(spark, sf_dir)).join(allowed, "id", "left_semi")
     return search.best(scored, ["query_id"], [F.desc("score"), F.col("id")], 10).select("query_id", "rank", "id", "score")
 
 
@@ -58,7 +60,7 @@ def known_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents")
     asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(tokens(F.col("text")), 5, 12), " ").alias("text"))
-    scored = search.bm25(docs, asked)
+    scored = index.table_index(spark, sf_dir).scores(asked)
     target = scored.where("id = query_id").select("query_id", F.col("score").alias("own"))
     beaten = (F.col("score") > F.col("own")) | (F.col("score") == F.col("own")) & (F.col("id") < F.col("query_id"))
     ranked = scored.join(target, "query_id").groupBy("query_id").agg((1 + F.count_if(beaten & (F.col("id") != F.col("query_id")))).alias("rank"))
@@ -85,11 +87,9 @@ def a13_known_item_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
   FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) """ + TOPK_SQL.format("p", 5))
 def r02_dense_in_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unit vectors of the query's category, by dot product; only they are candidates."""
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
-    scored = q.join(e, "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("id"), F.round(search.dot("q", "embedding"), 6).alias("score"))
-    return search.best(scored, ["query_id"], [F.desc("score"), F.col("id")], 5).select("query_id", "rank", "id", "score")
+    """Unit vectors of the query's category, by dot product; only they are candidates. Pairs are matrix products in blocks."""
+    found = likeness.blocked(table(spark, sf_dir, "embeddings"), 5, group="label", key="vec_id", vector="embedding", asked="vec_id % 20 = 0")
+    return found.select(F.col("key").alias("query_id"), "rank", F.col("other").alias("id"), "score")
 
 
 @query(f"""WITH {ITEMS_SQL}, {BM25_SQL}, c AS (SELECT doc_id AS id, n_chars FROM documents WHERE lang = 'es'),
@@ -98,12 +98,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY a DESC, id) -
 f AS (SELECT *, round(1.0::DOUBLE / (60 + r1) + 1.0::DOUBLE / (60 + r2), 9) AS score FROM r)
 SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r1) AS rank, id, score FROM f) WHERE rank <= 10""")
 def r03_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 fused with closeness to a length; every filtered document is a candidate of every query of the (small) set, whatever its scores."""
+    """BM25 fused with closeness to a length; every document of the language is a candidate of every query, whatever its scores."""
     docs, asked = table(spark, sf_dir, "documents"), items(spark, sf_dir)
-    allowed = docs.where("lang = 'es'").select(F.col("doc_id").alias("id"), (-F.abs(F.col("n_chars") - 400)).alias("b"))
-    candidates = asked.select("query_id", F.lit("es").alias("lang")).join(allowed.withColumn("lang", F.lit("es")), "lang")
-    signals = candidates.join(search.bm25(docs, asked), ["query_id", "id"], "left").select("query_id", "id", F.coalesce("score", F.lit(0.0)).alias("a"), "b")
-    return search.fused(signals, "a", "b", 10)
+    allowed = docs.where("lang = 'es'").select(F.col("doc_id").alias("id"), F.abs(F.col("n_chars") - 400).alias("b"), F.lit(0).alias("all"))
+    return search.fused_with_order(asked.select("query_id").distinct(), index.table_index(spark, sf_dir).scores(asked), allowed, "b", 10)
 
 
 TFIDF_SQL = f"""words AS (SELECT doc_id AS id, lang AS category, unnest({CONTENT_SQL}) AS word FROM documents),
@@ -172,9 +170,42 @@ def u07_pooled_best(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id < a.vec_id)
 SELECT vec_id, max(s) AS most_alike, count(*) AS before, max(CASE WHEN r <= 5 THEN r END) AS neighbours FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, other) AS r FROM p) GROUP BY 1""")
 def r12_likeness_to_earlier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greatest likeness of each vector to earlier ones of its category. Only categories, an equi-join key, bound the pairs: for small categories."""
-    e = table(spark, sf_dir, "embeddings")
-    other = e.select("label", F.col("vec_id").alias("other"), F.col("embedding").alias("b"))
-    pairs = e.join(other, "label").where("other < vec_id").select("vec_id", "other", F.round(search.dot("embedding", "b"), 6).alias("s"))
-    ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("s"), "other")))
-    return ranked.groupBy("vec_id").agg(F.max("s").alias("most_alike"), F.count("*").alias("before"), F.max(F.when(F.col("r") <= 5, F.col("r"))).alias("neighbours"))
+    """Greatest likeness of each vector to earlier ones of its category, from the five nearest; pairs are matrix products in blocks, never rows."""
+    found = likeness.blocked(table(spark, sf_dir, "embeddings"), 5, group="label", key="vec_id", vector="embedding", earlier=True)
+    return found.groupBy(F.col("key").alias("vec_id")).agg(F.max("score").alias("most_alike"), F.max("seen").alias("before"), F.max("rank").alias("neighbours"))
+
+
+#: Passages of fewer than three tokens are sought nowhere (they have no token that must be whole in a document).
+KNOWN_PASSAGES_SQL = f"""{ITEMS_SQL}, {BM25_SQL},
+held AS (SELECT query_id, doc_id AS id FROM q JOIN documents d ON contains(d.text, q.text) WHERE len(regexp_extract_all(lower(q.text), '[a-z0-9]+')) >= 3),
+own AS (SELECT h.query_id, bm.id, bm.score FROM held h JOIN bm ON bm.query_id = h.query_id AND bm.id = h.id),
+first AS (SELECT query_id, max(score) AS s FROM own GROUP BY 1), target AS (SELECT query_id, s, min(id) AS id FROM own JOIN first USING (query_id) WHERE score = s GROUP BY 1, 2),
+ranks AS (SELECT q.query_id, (SELECT count(*) FROM held h WHERE h.query_id = q.query_id) AS holders, r.rank FROM q LEFT JOIN
+  (SELECT t.query_id, 1 + count(*) FILTER (WHERE bm.score > t.s OR bm.score = t.s AND bm.id < t.id) AS rank FROM target t JOIN bm ON bm.query_id = t.query_id GROUP BY 1) r USING (query_id))"""
+
+
+def passage_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, holders, rank: of each benchmark passage, how many documents hold it, and where the first of them ranks; null if none does."""
+    docs, asked = table(spark, sf_dir, "documents"), items(spark, sf_dir)
+    held = kept(passages.holding(docs, asked, passage_id="query_id").select(F.col("passage").alias("query_id"), "id"), "held")
+    scored = kept(index.table_index(spark, sf_dir).scores(asked), "scored")
+    own = scored.join(held.distinct(), ["query_id", "id"]).groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("less"), "id")).alias("t"))
+    beats = F.struct((-F.col("score")).alias("less"), "id") < F.col("t")
+    ranks = scored.join(own, "query_id").groupBy("query_id").agg((1 + F.count_if(beats)).alias("rank"))
+    holders = held.groupBy("query_id").agg(F.count("*").alias("holders"))
+    return asked.select("query_id").join(holders, "query_id", "left").join(ranks, "query_id", "left").select("query_id", F.coalesce("holders", F.lit(0)).alias("holders"), "rank")
+
+
+@query(f"WITH {KNOWN_PASSAGES_SQL} SELECT query_id, holders, rank FROM ranks")
+def r05_known_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage is asked for; its targets are the documents that contain it."""
+    return passage_ranks(spark, sf_dir)
+
+
+@query(f"""WITH {KNOWN_PASSAGES_SQL} SELECT count(*) AS n, count(*) FILTER (WHERE holders = 0) AS nowhere, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5,
+  round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS recall_10, round(avg(coalesce(1.0 / rank, 0.0)), 6) AS mrr FROM ranks""")
+def a13_passage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall and mean reciprocal rank over all passages; one that no document holds, or that isn't found, is a miss."""
+    within = lambda k: F.round(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), 6)
+    nowhere = F.count_if(F.col("holders") == 0).alias("nowhere")
+    return passage_ranks(spark, sf_dir).agg(F.count("*").alias("n"), nowhere, within(5).alias("recall_5"), within(10).alias("recall_10"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))

@@ -42,10 +42,11 @@ def r22_blinding_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH n AS (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS rn, count(*) OVER (PARTITION BY c_nationkey) AS m FROM customer)
 SELECT a.c_custkey, b.c_custkey AS decoy FROM n a JOIN n b ON a.c_nationkey = b.c_nationkey AND b.rn = (a.rn + 3) % a.m""")
 def j11_modular_decoys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row of a group paired with the third after it, around the end."""
-    w = Window.partitionBy("c_nationkey")
-    n = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", (F.row_number().over(w.orderBy("c_custkey")) - 1).alias("rn"), F.count("*").over(w).alias("m"))
-    other = n.select(F.col("c_custkey").alias("decoy"), "c_nationkey", F.col("rn").alias("at"))
+    """Each row of a group paired with the third after it, around the end; places come from ranges, so no group is one task."""
+    rows = select.before(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", ["c_custkey"], name="rn")
+    sizes = rows.groupBy("c_nationkey").agg(F.count("*").alias("m"))
+    n = rows.join(sizes, "c_nationkey")
+    other = rows.select(F.col("c_custkey").alias("decoy"), "c_nationkey", F.col("rn").alias("at"))
     return n.withColumn("at", (F.col("rn") + 3) % F.col("m")).join(other, ["c_nationkey", "at"]).select("c_custkey", "decoy")
 
 
@@ -90,7 +91,9 @@ def f25_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(p_name, '[A-Za-z]+'))) AS w FROM part)
 SELECT a.w AS word, b.w AS near FROM w a JOIN w b ON a.w < b.w AND substring(a.w, 1, 1) = substring(b.w, 1, 1) AND levenshtein(a.w, b.w) <= 1""")
 def f12_near_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of one first letter that one edit parts; the vocabulary is small against the table."""
-    w = table(spark, sf_dir, "part").select(F.explode(F.regexp_extract_all("p_name", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.lower("w").alias("word")).distinct().withColumn("c", F.substring("word", 1, 1))
-    other = w.select("c", F.col("word").alias("near"))
-    return w.join(other, "c").where((F.col("word") < F.col("near")) & tx.near_equal(F.col("word"), F.col("near"))).select("word", "near")
+    """Words that one edit parts: both, or one of them, are the same once a letter is left out, so words meet by such keys."""
+    w = table(spark, sf_dir, "part").select(F.explode(F.regexp_extract_all("p_name", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.lower("w").alias("word")).distinct()
+    without = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, F.length("word"))))
+    keyed = w.select("word", F.explode(F.array_distinct(F.concat(F.array("word"), without))).alias("key"))
+    pairs = keyed.join(keyed.select(F.col("word").alias("near"), "key"), "key").where("word < near AND substring(word, 1, 1) = substring(near, 1, 1)")
+    return pairs.select("word", "near").distinct().where(tx.near_equal(F.col("word"), F.col("near")))
