@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,13 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def folded(text: Column) -> Column:
+    """Without accents, in lower case, with single spaces: letters of Latin blocks that are a base letter with marks become the base, combining marks go."""
+    pairs = [(chr(c), d[0]) for c in range(0xC0, 0x250) if len(d := unicodedata.normalize("NFKD", chr(c))) > 1 and all(map(unicodedata.combining, d[1:]))]
+    plain = F.regexp_replace(F.translate(text, *map("".join, zip(*pairs, strict=True))), r"\p{Mn}", "")
+    return F.lower(F.trim(F.regexp_replace(plain, r"\s+", " ")))
+
+
 def content_words(text: Column, stop: tuple[str, ...] = ()) -> Column:
     """Distinct words of four letters or more (accented ones too) that are not in ``stop``."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-zà-ÿ]{4,}"), F.lit(0)))
