@@ -45,6 +45,8 @@ PIECE = 100_000
 #: In lists of so many owners at most, all pairs are looked at.
 SHORT = 32
 MOST_BITS = 27
+#: Words of a bit table that are put together in one group.
+TABLE_BLOCK = 1 << 15
 NO_ID = (1 << 63) - 1
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 CHUNK = "block int, part int, parts int, grams binary, places binary, owner binary, keys binary, sizes binary"
@@ -134,17 +136,30 @@ def bit_table(numbers: DataFrame, count: int | None = None) -> np.ndarray:
     """Bits set for each number of the single column, in a table of at most 2 ** MOST_BITS bits: four bits a number. Repeated numbers do no harm; ``count`` is how many there are, or more."""
     count = numbers.count() if count is None else count
     size = 1 << min(MOST_BITS, max(10, (16 * count).bit_length()))
-    c = numbers.columns[0]
-    at = F.explode(F.array(*[F.expr(f"pmod(shiftright({c}, {11 * i}), {size})") for i in range(4)])).alias("at")
-    words = numbers.select(at).groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    words, block = size // 64, min(size // 64, TABLE_BLOCK)
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(words, np.int64)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([x.to_numpy().tobytes()], pa.binary()) for x in b.columns], ["word", "bits"])
-
-    table = np.zeros(size // 64, np.int64)
-    for r in words.mapInArrow(packed, "word binary, bits binary").toLocalIterator():
-        table[np.frombuffer(r["word"], np.int64)] = np.frombuffer(r["bits"], np.int64)
+            own = b.column(0).to_numpy()
+            for i in range(4):
+                at = (own >> (11 * i)) % size
+                np.bitwise_or.at(table, at // 64, np.int64(1) << (at % 64))
+        places = np.flatnonzero(table)
+        for k in np.unique(places // block):
+            here = places[places // block == k]
+            yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([(here % block).tobytes()], pa.binary()), pa.array([table[here].tobytes()], pa.binary())], ["block", "places", "bits"])
+
+    def joined(group: pd.DataFrame) -> pd.DataFrame:
+        part = np.zeros(block, np.int64)
+        for places, bits in zip(group["places"], group["bits"], strict=True):
+            part[np.frombuffer(places, np.int64)] |= np.frombuffer(bits, np.int64)
+        return pd.DataFrame({"block": group["block"].iloc[:1], "bits": [part.tobytes()]})
+
+    table = np.zeros(words, np.int64)
+    parts = numbers.mapInArrow(local, "block int, places binary, bits binary").groupBy("block").applyInPandas(joined, "block int, bits binary")
+    for r in parts.collect():
+        table[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(r["bits"], np.int64)
     return table
 
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cache
 from math import exp, lgamma, log
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -37,8 +38,8 @@ WORDS_OF_BITS = K // 64
 PERCENT = 85
 #: Odds that two linked sets, one of them larger than its sketch, share fewer sketch values than is asked for.
 ODDS = 1e-12
-#: So many values, the most frequent ones of at least so many classes, come last by their counts.
-MOST_FREQUENT, FREQUENT = 1 << 16, 8
+#: Values of so many classes at least come late in order, and of them so many, the most frequent ones, last by their counts.
+FREQUENT, MOST_FREQUENT = 3, 1 << 16
 #: Values of a block that are counted together, about; values that a task holds before it hands on their counts.
 BLOCK, COUNTED = 2_000_000, 1_000_000
 
@@ -103,16 +104,23 @@ def shared_values(classes: DataFrame, blocks: int) -> DataFrame:
     return classes.select("sketch").mapInArrow(local, "block int, values binary, counts binary").groupBy("block").applyInPandas(whole, "value long, n long")
 
 
-def in_order(sketch: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, int]:
-    """The sketch's values in the common order, those in ``most`` last by their counts; and how many of them are there."""
-    if not len(most) or not len(sketch):
-        return sketch, 0
-    place = np.minimum(np.searchsorted(most["value"], sketch), len(most) - 1)
-    counts = np.where(most["value"][place] == sketch, most["n"][place], 0)
+class Common(NamedTuple):
+    """What the order of values rests on: a bit table of the frequent ones, and the counts (value, n) of the most frequent."""
+
+    often: np.ndarray
+    most: np.ndarray
+
+
+def in_order(sketch: np.ndarray, common: Common) -> tuple[np.ndarray, int]:
+    """The sketch's values in the common order, frequent ones late, the most frequent last by their counts; and how many are frequent."""
+    counts, most = maybe(common.often, sketch.view(np.int64)).astype(np.int64), common.most
+    if len(most):
+        place = np.minimum(np.searchsorted(most["value"], sketch), len(most) - 1)
+        counts = np.where(most["value"][place] == sketch, most["n"][place], counts)
     return sketch[np.lexsort((sketch, counts))], int((counts > 0).sum())
 
 
-def postings(classes: DataFrame, most: np.ndarray, several: np.ndarray, percent: int) -> DataFrame:
+def postings(classes: DataFrame, common: Common, several: np.ndarray, percent: int) -> DataFrame:
     """value, key, n, m (of its sketch), place, central (share of frequent values, in 256ths) of each early value that another sketch may hold."""
     names = ["value", "key", "n", "m", "place", "central"]
 
@@ -121,7 +129,7 @@ def postings(classes: DataFrame, most: np.ndarray, several: np.ndarray, percent:
             keys, sizes, raw = (c.to_pylist() for c in b.columns)
             firsts, facts = [], []
             for n, x in zip(sizes, raw, strict=True):
-                order, frequent = in_order(np.frombuffer(x, np.uint64), most)
+                order, frequent = in_order(np.frombuffer(x, np.uint64), common)
                 firsts.append(order[: early(n, percent)])
                 facts.append((n, len(order), 256 * frequent // max(1, len(order))))
             count = np.array([*map(len, firsts)])
@@ -154,7 +162,7 @@ def with_sketches(classes: DataFrame, pairs: DataFrame) -> DataFrame:
 COMPARED = "key binary, key2 binary, n long, n2 long, rep long, rep2 long, sure boolean, bits array<long>, others int"
 
 
-def estimated(pairs: DataFrame, most: np.ndarray, percent: int) -> DataFrame:
+def estimated(pairs: DataFrame, order: Common, percent: int) -> DataFrame:
     """Each pair as ``COMPARED``: sure is true of links between sets that their sketches hold whole, null where the estimate of
     the union's sketch allows a link, else false; bits tell which of key2's values, in order, key holds, and others how many it has beside them."""
     names = [c.split()[0] for c in COMPARED.split(", ")]
@@ -165,7 +173,7 @@ def estimated(pairs: DataFrame, most: np.ndarray, percent: int) -> DataFrame:
             sure, bits, others, known = [], [], [], {}
             for n, n2, x, y in zip(*(b.column(c).to_pylist() for c in ("n", "n2", "s", "s2")), strict=True):
                 if y not in known:
-                    known[y] = in_order(np.frombuffer(y, np.uint64), most)[0]
+                    known[y] = in_order(np.frombuffer(y, np.uint64), order)[0]
                 one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 held = np.isin(known[y], one, assume_unique=True)
                 common = int(held.sum())
@@ -246,14 +254,15 @@ def links_of(keep: Scratch, docs: DataFrame, classes: DataFrame, percent: int) -
     most = np.zeros(len(rows), [("value", np.uint64), ("n", np.int64)])
     most["value"], most["n"] = np.array([r["value"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
     most.sort(order="value")
+    order = Common(bit_table(shared.where(F.col("n") >= FREQUENT).select("value")), most)
 
-    listed = keep(postings(classes, most, bit_table(shared.select("value")), percent), "postings")
+    listed = keep(postings(classes, order, bit_table(shared.select("value")), percent), "postings")
     central = F.max(F.struct("central", "m", "key", "place", "n")).alias("c")
     facts = [F.col(f"c.{c}").alias(f"hub_{c}") for c in ("n", "m")]
     hubs = listed.groupBy("value").agg(F.count("*").alias("rows"), central).where("rows > 1").select("value", F.col("c.key").alias("hub"), F.col("c.place").alias("first"), *facts)
     members = keep(listed.join(hubs, "value"), "members")
     pairs = keep(members.where(F.col("key") != F.col("hub")).where(may_link(members, "", "hub_", F.col("first"), percent)).select("key", F.col("hub").alias("key2")).distinct(), "stars")
-    stars = keep(estimated(with_sketches(classes, pairs), most, percent), "compared")
+    stars = keep(estimated(with_sketches(classes, pairs), order, percent), "compared")
     links = verified(keep, docs, stars, percent)
     groups = keep(components(links.select(F.col("key").alias("a"), F.col("key2").alias("b")), keep), "groups")
 
@@ -267,7 +276,7 @@ def links_of(keep: Scratch, docs: DataFrame, classes: DataFrame, percent: int) -
     central = F.col("key") == F.col("hub")
     left = keep(left.withColumn("bits", F.when(central, every).otherwise(F.col("bits"))).withColumn("others", F.when(central, 0).otherwise(F.col("others"))), "mixed")
     more = pairs_across(left, percent).join(pairs.select(F.least("key", "key2").alias("key"), F.greatest("key", "key2").alias("key2")), ["key", "key2"], "left_anti")
-    answers = keep(estimated(with_sketches(classes, keep(more, "pairs")), most, percent), "compared")
+    answers = keep(estimated(with_sketches(classes, keep(more, "pairs")), order, percent), "compared")
     return groups, verified(keep, docs, answers, percent)
 
 
