@@ -206,7 +206,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
         for b in slices(batches):
             langs, scores, switches = [], [], []
             for found, label in labelled(b.column(1).to_pylist(), model, words, switch):
-                if not found or not n:
+                if not n or not any(any(map(str.isalpha, w)) for w in found):  # numerals such as Ⅷ are no letters
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                     switches.append(0)

@@ -176,7 +176,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> Data
     first = {r[0]: r[1] for r in rows.groupBy("bucket").agg(F.max("key")).collect()}
     order = sorted(first)
     heads = [first.get(b, least) for b in range(len(bounds) + 1)]
-    before = [order[(order.index(b) + 1) % len(order)] if b in first else 0 for b in range(len(bounds) + 1)]
+    following = dict(zip(order, order[1:] + order[:1], strict=True))
+    before = [following.get(b, 0) for b in range(len(bounds) + 1)]
     own = F.struct(F.col("bucket"), F.lit(0).alias("guest"))
     guest = F.struct(F.get(long_array(before), F.col("bucket")).cast("int").alias("bucket"), F.lit(1).alias("guest"))
     sent = F.when(F.col("key") == F.get(long_array(heads), F.col("bucket")), F.array(own, guest)).otherwise(F.array(own))
