@@ -84,3 +84,21 @@ def test_queries_over_whole_texts(spark):
         assert got["f13_replaced_capitals"][i]["text_md5"] == md5(marked(t))
         assert got["f16_scrubbed"][i]["text_md5"] == md5(scrub(t))
         assert (got["f17_residual_names"][i]["n"], got["f17_residual_names"][i]["spans_md5"]) == (len(spans(t)), md5("|".join(spans(t))))
+
+
+def test_nested_records_keep_their_shape(spark):
+    schema = "id long, record struct<title: string, n: int, parts: array<struct<who: string, notes: array<string>>>, more: map<string, string>>, roster array<struct<name: string, ref: string>>, judge string, district string"
+    roster = [{"name": "Ames, Alice", "ref": "R1"}]
+    whole = {"title": "Alice Ames v. District", "n": 3, "parts": [{"who": "Ames", "notes": ["told Alice Ames", None, "none"]}, None, {"who": None, "notes": None}], "more": {"Ames": "by Ames", "k": None}}
+    rows = [(1, whole, roster, "Doe", "River"), (2, whole, None, None, None), (3, None, roster, "Doe", "River"), (4, {"title": None, "n": None, "parts": [], "more": {}}, [], None, None), (5, whole, [{"name": "Told, Bob", "ref": "R9"}], None, None)]
+    table = spark.createDataFrame(rows, schema).repartition(2)
+    found = redaction.nested_deidentified(table, "record", "roster", "judge", "district")
+    assert found.schema == table.schema
+    got, had = ({r["id"]: r["record"] and r["record"].asDict(True) for r in df.collect()} for df in (found, table))
+    assert got[2] == had[2] and got[3] is None and got[4] == had[4]
+    marks, firsts = redaction.wanted_names(roster, "doe", "river")
+    hide = lambda t: None if t is None else redaction.pseudonymous(t, marks, firsts, "doe", "river")[0]
+    parts = [p and {"who": hide(p["who"]), "notes": p["notes"] and [hide(x) for x in p["notes"]]} for p in whole["parts"]]
+    assert got[1] == {"title": hide(whole["title"]), "n": 3, "parts": parts, "more": {k: hide(v) for k, v in whole["more"].items()}}
+    assert "Ames" not in str({**got[1], "more": list(got[1]["more"].values())}) and "R1" in got[1]["title"]
+    assert redaction.nested_deidentified(table.limit(0), "record", "roster", "judge", "district").count() == 0

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
@@ -167,3 +170,41 @@ def deidentified(texts: pd.Series, roster: pd.Series, judge: pd.Series, district
         changed = [pseudonymous(t or "", marks, firsts, j, d) for t in (row if row is not None else [])]
         out.append([{"text": t, "n": n} for t, n in changed])
     return pd.Series(out)
+
+
+def walked(values: pa.Array, rows: np.ndarray, change: Callable[[str, int], str]) -> pa.Array:
+    """``values`` of any nested type with each string leaf changed, given the number of the row that it belongs to; map keys stay."""
+    kind = values.type
+    if pa.types.is_string(kind) or pa.types.is_large_string(kind):
+        return pa.array([None if t is None else change(t, r) for t, r in zip(values.to_pylist(), rows, strict=True)], kind)
+    if pa.types.is_struct(kind):
+        inner = [walked(x, rows, change) for x in values.flatten()]
+        return pa.StructArray.from_arrays(inner, fields=list(kind), mask=values.is_null()) if inner else values
+    if pa.types.is_map(kind) or pa.types.is_list(kind):
+        own = values.to_pylist() if pa.types.is_map(kind) else None
+        sizes = np.array([len(x or ()) for x in own]) if own is not None else pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)
+        ends, inside = np.concatenate([[0], np.cumsum(sizes)]), np.repeat(rows, sizes)
+        if own is not None:
+            keys, items = (pa.array([pair[i] for x in own for pair in x or ()], t) for i, t in ((0, kind.key_type), (1, kind.item_type)))
+            null = values.is_null().to_pylist() + [False]
+            return pa.MapArray.from_arrays(pa.array([None if n else int(e) for e, n in zip(ends, null, strict=True)], pa.int32()), keys, walked(items, inside, change)).cast(kind)
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), walked(values.flatten(), inside, change), mask=values.is_null()).cast(kind)
+    return values
+
+
+def nested_deidentified(records: DataFrame, column: str, roster: str, judge: str, district: str) -> DataFrame:
+    """``records`` with roster names as marks in every string of a nested column, however deep: structs, arrays and map values.
+
+    The schema stays as it is, nulls stay null, map keys and other types stay. A row's names are worked out
+    once, for all of its leaves. roster: an array of structs with ``name`` and ``ref``; nulls name nobody.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            people, judges, districts = (b.column(c).to_pylist() for c in (roster, judge, district))
+            low = [((j or "").lower(), (d or "").lower()) for j, d in zip(judges, districts, strict=True)]
+            known = [wanted_names(names or [], *jd) for names, jd in zip(people, low, strict=True)]
+            changed = walked(b.column(column), np.arange(b.num_rows), lambda t, r: pseudonymous(t, *known[r], *low[r])[0])
+            yield b.set_column(b.schema.get_field_index(column), b.schema.field(column), changed)
+
+    return records.mapInArrow(run, records.schema)
