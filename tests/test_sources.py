@@ -61,3 +61,24 @@ def test_matching(spark):
     ids = lambda **w: sorted(r["id"] for r in matching(df, w, parts=("district",), lists=("cats",)).collect())
     assert ids() == [1, 2, 3] and ids(district="MESA") == [1] and ids(cats="c") == [2] and ids(cats=["a", "z"]) == [1]
     assert ids(year=(2005, None)) == [2] and ids(year=[2004, 2009], district="") == [1, 2] and ids(year=(None, None)) == [1, 2]
+
+
+def test_broken_files_are_rejects(spark, tmp_path):
+    written(tmp_path / "m/1.json", {"matter_id": "one", "issues": ["a"]})
+    (tmp_path / "m/2.json").write_text('{"matter_id": "two", ')
+    written(tmp_path / "m/3.json", {"matter_id": "three", "issues": 7})
+    good, bad = records.checked(spark, "matter_id string, issues array<string>", str(tmp_path / "m"))
+    assert [r["matter_id"] for r in good.collect()] == ["one"] and sorted(r["file"][-6:] for r in bad.collect()) == ["2.json", "3.json"]
+    (tmp_path / "index.jsonl").write_text('{"case_no": "7"}\nnot json\n{"case_no": "8"}\n')
+    good, bad = records.checked(spark, "case_no string", str(tmp_path / "index.jsonl"), lines=True)
+    assert sorted(r["case_no"] for r in good.collect()) == ["7", "8"] and [r["broken"] for r in bad.collect()] == ["not json"]
+    written(tmp_path / "taxonomy.json", {"skipping": "passing over", "more": {"a": [1]}})
+    assert {r["category"]: r["definition"] for r in records.taxonomy(spark, str(tmp_path / "taxonomy.json")).collect()} == {"skipping": "passing over", "more": '{"a":[1]}'}
+
+
+def test_evaluation_set_is_read_back(spark, tmp_path):
+    chosen = spark.createDataFrame([("m1", "early"), ("m2", "late"), ("m3", "late")], "matter_id string, era string")
+    records.write_evaluation_set(chosen, str(tmp_path / "set"), "era")
+    matters, index = records.evaluation_set(spark, str(tmp_path / "set"))
+    assert sorted(map(tuple, matters.select("matter_id", "era").collect())) == [("m1", "early"), ("m2", "late"), ("m3", "late")]
+    assert {r["era"]: r["selected"] for r in index.collect()} == {"early": 1, "late": 2}

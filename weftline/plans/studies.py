@@ -10,6 +10,7 @@ from weftline.functions.text import folded, tokens
 from weftline.operators import logistic, studies
 from weftline.plans.redacted import quoted
 from weftline.registry import query, table
+from weftline.sources import records, shared
 
 #: Issues, triggers and weights of the spotting query.
 RULES = [("rights", "license", 3), ("rights", "copyright", 3), ("access", "password", 4), ("access", "token", 2), ("access", "secret", 2), ("numbers", "table", 1), ("numbers", "data", 1), ("cause", "the", 1), ("cause", "for", 2), ("past", "was", 2), ("past", "from", 1), ("present", "is", 1), ("present", "are", 2)]
@@ -129,3 +130,19 @@ def r14_logistic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = logistic.stored(data)
     found = logistic.out_of_fold(data, *logistic.fitted(data, len(names), 5))
     return found.select(F.col("key").alias("doc_id"), "fold", F.col("y").alias("quality"), F.round("score", 6).alias("score"), (F.col("score") >= 0.5).alias("predicted"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, list_sort(list_distinct(list(l_returnflag))) AS flags FROM lineitem GROUP BY 1),
+g AS (SELECT year(o_orderdate) AS year, CASE WHEN o_orderkey % 10 = 0 THEN ' ' ELSE o_orderpriority END AS category_raw, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE 'order ' || o_orderkey || ' of ' || o_custkey END AS text, flags FROM orders LEFT JOIN l ON l_orderkey = o_orderkey)
+SELECT text, year::INT AS year, category_raw, array_to_string(flags, ',') AS categories FROM g WHERE trim(category_raw) <> '' AND trim(text) <> '' AND year IN (1995, 1996)""")
+def s07_gold_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their lines' flags nested, written as JSON lines and read as gold rows of two years; headers and rows without text go."""
+    flags = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_returnflag")).alias("category_canonical"))
+    o = table(spark, sf_dir, "orders").join(flags, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    key = F.col("o_orderkey")
+    rows = o.select(F.year("o_orderdate").alias("sort_year"), F.when(key % 10 == 0, F.lit(" ")).otherwise(F.col("o_orderpriority")).alias("category_raw"), "category_canonical",
+        F.when(key % 17 != 0, F.concat(F.lit("order "), key.cast("string"), F.lit(" of "), F.col("o_custkey").cast("string"))).alias("text"))
+    path = shared.new_path(spark, "gold")
+    rows.write.json(path)
+    found = records.gold_documents(records.gold_rows(spark, path, {1995, 1996}))
+    return found.select("text", "year", "category_raw", F.array_join("categories", ",").alias("categories"))

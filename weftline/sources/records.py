@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import joined_parts
 from weftline.operators.records import not_yet
+from weftline.sources.shared import kept
 
 #: The record layouts, which two versions of the files share; nothing is inferred.
 HOLDING = """struct<issue: struct<category: string, subtype: string, statement: string>, ruling: struct<prevailing_party: string, remedies: array<string>>,
@@ -95,3 +96,30 @@ def reports(df: DataFrame, key: str, order: str, title: str, line: str) -> DataF
     """A text per key: its title, then a line per row in order. ``line`` is an SQL expression."""
     rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.expr(line).alias("l")))).alias("rows"))
     return rows.select(key, F.concat(F.lit(f"# {title} "), F.col(key).cast("string"), F.lit("\n\n"), F.array_join(F.transform("rows", lambda r: F.concat(F.lit("- "), r["l"])), "\n")).alias("text"))
+
+
+def checked(spark: SparkSession, schema: str, *paths: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Records of JSON files (whole files, or lines), with the file of each; and a table of rejects (file, broken): what doesn't parse, or not into this schema.
+
+    Nothing broken becomes a row of nulls; files are parsed once, into the shared folder. An empty folder gives two empty tables.
+    """
+    found = spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken").option("multiLine", not lines).json([*paths])
+    found = kept(found.select("*", F.col("_metadata.file_path").alias("file")), "checked")
+    return found.where("_broken IS NULL").drop("_broken"), found.where("_broken IS NOT NULL").select("file", F.col("_broken").alias("broken"))
+
+
+def taxonomy(spark: SparkSession, path: str) -> DataFrame:
+    """category, definition: the members of one whole JSON object; nested values stay as JSON text."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, string>").alias("m"))
+    return whole.select(F.explode("m").alias("category", "definition"))
+
+
+def write_evaluation_set(chosen: DataFrame, path: str, by: str) -> None:
+    """Writes chosen matters in a folder per value of ``by``, and beside them an index: how many there are of each."""
+    chosen.write.mode("overwrite").partitionBy(by).parquet(f"{path}/matters")
+    chosen.groupBy(by).agg(F.count("*").alias("selected")).write.mode("overwrite").parquet(f"{path}/index")
+
+
+def evaluation_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Matters and index of a written evaluation set."""
+    return spark.read.parquet(f"{path}/matters"), spark.read.parquet(f"{path}/index")
