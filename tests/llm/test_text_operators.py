@@ -398,7 +398,8 @@ def test_spans_of_mixed_text(spark):
     got = [(r["lang"], r["start"], r["end"]) for r in langid.spans(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()]
     long = {lang: sum(b - a for x, a, b in got if x == lang) for lang in part}
     assert min(long.values()) > 300 and len(got) < 25
-    assert langid.predict(spark.createDataFrame([(1, "12 34 !")], "doc_id long, text string"), model).first()["lang_pred"] == "und"
+    numerals = spark.createDataFrame([(1, "12 34 !"), (2, "² Ⅷ"), (3, "² der")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] == "und" for r in langid.predict(numerals, model).collect()} == {1: True, 2: True, 3: False}
 
 
 def test_viterbi_against_all_labellings():
