@@ -4,8 +4,11 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from weftline.functions import text as tx
 from weftline.functions.text import folded
 from weftline.operators import studies
+from weftline.operators.records import facets
+from weftline.operators.select import blinded
 
 
 def test_only_changed_dossiers_are_written(spark, tmp_path):
@@ -70,3 +73,48 @@ def test_arms_ladder_and_packs(spark):
 def test_folding(spark):
     r = spark.createDataFrame([("  École  Ñandú É ß ø ",), (None,)], "t string").select(folded(F.col("t")).alias("x")).collect()
     assert [x["x"] for x in r] == ["ecole nandu e ß ø", None]
+
+
+def test_categories_above_and_below(spark):
+    rows = [(1, "a", 9), (1, "b", 1), (2, "a", 1), (2, "b", 9), (3, None, 4), (None, "a", 4), (4, "c", 2), (4, "a", 8)]
+    cells = spark.createDataFrame(rows, "e long, c string, n long")
+    got = {r["e"]: ([x["c"] for x in r["more"]], [x["c"] for x in r["less"]]) for r in studies.over_and_under(cells, "e", "c", "n").collect()}
+    assert got == {1: (["a"], ["b"]), 2: (["b"], ["a"]), 4: (["a"], [])}  # c lies above, but with fewer than three units
+    assert studies.over_and_under(cells.limit(0), "e", "c", "n").count() == 0
+
+
+def test_dossiers_keep_entities_without_parts(spark):
+    base = spark.createDataFrame([(1,), (2,)], "k long")
+    part = spark.createDataFrame([(1, 5, "x"), (9, 6, "y")], "k long, n int, t string")
+    got = {r["k"]: r["p"] for r in studies.dossiers(base, "k", p=part).collect()}
+    assert got[2] is None and tuple(got[1]) == (5, "x")
+
+
+def test_base_figures_of_nothing_and_blanks(spark):
+    units = spark.createDataFrame([("a",), ("a",), (None,), ("b",)], "category string")
+    decided = spark.createDataFrame([(1,), (0,), (None,)], "won int")
+    cited = spark.createDataFrame([("Ed. Code  s. 1 (a)",), ("ed. code s. 1, b",), (None,), (" ",)], "cite string")
+    got = {(r["kind"], r["value"]): (r["n"], r["total"], r["rate"]) for r in studies.base_figures(units, decided, cited).collect()}
+    assert got == {("category", "a"): (2, 3, 0.666667), ("category", "b"): (1, 3, 0.333333), ("won", "all"): (1, 2, 0.5), ("authority", "ed. code s. 1"): (2, 2, 1.0)}
+    none = studies.base_figures(units.limit(0), decided.limit(0), cited.limit(0)).collect()
+    assert [tuple(r) for r in none] == [("won", "all", 0, 0, None)]
+
+
+def test_facets_of_lists(spark):
+    df = spark.createDataFrame([("x", ["x", "y", "x", None]), (None, None), ("z", [])], "one string, many array<string>")
+    got = sorted(map(tuple, facets(df, {"one": "f", "many": "f"}).collect()))
+    assert got == [("f", "x", 3), ("f", "y", 1), ("f", "z", 1)]
+
+
+def test_codes_and_key_agree(spark):
+    rows = spark.createDataFrame([(i, i % 2, "yes" if i % 3 else "no", f"text {i}") for i in range(20)], "k long, s int, answer string, text string")
+    view, keys = blinded(rows, "s", "k", "s", "X", ["answer"])
+    assert view.columns == ["code", "text"] and keys.columns == ["code", "k", "s", "answer"]
+    both = keys.where("s = 1").alias("a").join(view.alias("b"), "code").where("text = concat('text ', k)")
+    assert both.count() == 10
+
+
+def test_matters_rendered(spark):
+    df = spark.createDataFrame([(None, None, None), ("b", ["x", None], "1999x"), ("{a}", [], "no")], "basis string, lines array<string>, no string")
+    F_ = df.select(tx.fingerprint(F.col("basis"), F.col("lines")).alias("f"), tx.filled("<{a}|{b}>", a=F.col("basis"), b=F.size("lines")).alias("p"), tx.era(tx.case_year(F.col("no"))).alias("era"), tx.one_category(F.col("basis"), {"b": "c"}).alias("c"))
+    assert [tuple(r) for r in F_.collect()] == [("Basis: ", "<-|->", "unknown", None), ("Basis: b | x", "<b|2>", "1999-2001", "c"), ("Basis: {a}", "<{a}|0>", "unknown", "{a}")]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -19,6 +20,10 @@ STOP_WORDS = (
     "section", "education", "code", "board", "school", "teacher", "teachers",
 )
 
+#: Categories that count as another one, and the eras by their last year.
+SAME_CATEGORY = {"pks_allowed": "pks_reduction", "pks_not_allowed": "pks_reduction"}
+ERAS = ((2001, "1999-2001"), (2010, "2004-2009"), (None, "2018-2025"))
+
 
 def tokens(text: Column) -> Column:
     """Runs of ASCII letters and digits, in lower case; accented letters part words. Null gives none."""
@@ -100,3 +105,30 @@ def label(code: Column, names: dict[str, str]) -> Column:
     """The name of a code; of one without a name, the code with spaces for underscores."""
     known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     return F.coalesce(F.try_element_at(known, code), F.replace(code, F.lit("_"), F.lit(" ")))
+
+
+def one_category(code: Column, same: dict[str, str] = SAME_CATEGORY) -> Column:
+    """The category that a code counts as; itself where ``same`` has none, null if null."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in same.items() for x in pair]), code), code)
+
+
+def case_year(case_no: Column) -> Column:
+    """The first four digits in a row; null if there are none."""
+    return F.regexp_extract(case_no, r"(\d{4})", 1).try_cast("int")
+
+
+def era(year: Column, eras: tuple[tuple[int | None, str], ...] = ERAS) -> Column:
+    """The first era whose last year isn't before ``year``; ``unknown`` if null."""
+    return F.coalesce(*[F.when(year <= last if last is not None else year.isNotNull(), name) for last, name in eras], F.lit("unknown"))
+
+
+def fingerprint(basis: Column, *parts: Column) -> Column:
+    """A matter as one line: its basis, then the rendered lines of each part (an array; null has none, null lines go), parted by bars."""
+    none = F.array().cast("array<string>")
+    return F.array_join(F.concat(F.array(F.concat(F.lit("Basis: "), F.coalesce(basis, F.lit("")))), *[F.coalesce(p, none) for p in parts]), " | ")
+
+
+def filled(template: str, **values: Column) -> Column:
+    """``template`` with each ``{name}`` as that value's text; null is a dash. Braces within values stay as they are."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.coalesce(values[x].cast("string"), F.lit("-")) if i % 2 else F.lit(x) for i, x in enumerate(pieces)])

@@ -54,3 +54,16 @@ def not_yet(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 def seeded(*columns: str, seed: str) -> Column:
     """An order by hash that a seed fixes, for samples and shuffles that can be repeated."""
     return F.sha1(F.concat_ws("|", F.lit(seed), *columns).cast("binary"))
+
+
+def facets(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """facet, value, n: how often each value stands in each column of ``names`` (column: facet), elements of lists one by one, in one pass.
+
+    Columns of the same facet are counted together. Nulls, as values or as elements, don't count; a list that repeats a value counts it again.
+    """
+    def told(column: str) -> Column:
+        many = df.schema[column].dataType.typeName() == "array"
+        values = F.coalesce(F.col(column).cast("array<string>"), F.array().cast("array<string>")) if many else F.array(F.col(column).cast("string"))
+        return F.transform(values, lambda v: F.struct(F.lit(names[column]).alias("facet"), v.alias("value")))
+
+    return df.select(F.explode(F.concat(*map(told, names))).alias("f")).select("f.*").where("value IS NOT NULL").groupBy("facet", "value").agg(F.count("*").alias("n"))

@@ -82,6 +82,13 @@ def coded(rows: DataFrame, tag: str, key: str, stratum: str, prefix: str) -> Dat
     return placed.withColumn("code", F.format_string(f"{prefix}%05d", F.col("before") + 1)).drop("_sum", "before")
 
 
+def blinded(rows: DataFrame, tag: str, key: str, stratum: str, prefix: str, answers: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What a judge sees (code and all columns but ``key``, ``stratum`` and ``answers``), and the key table (code and these). Codes are given once and written, so the two agree."""
+    placed = kept(coded(rows, tag, key, stratum, prefix), "codes")
+    hidden = list(dict.fromkeys([key, stratum, *answers]))
+    return placed.select("code", *[c for c in rows.columns if c not in hidden]), placed.select("code", *hidden)
+
+
 def tied_ranks(rows: DataFrame, group: str, value: str, name: str) -> DataFrame:
     """group, value, ``name``: the mean rank of each distinct value of a group, ties sharing theirs."""
     counts = rows.groupBy(group, value).agg(F.count("*").alias("n"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import redaction
-from weftline.functions.text import letters_only
+from weftline.functions.text import citation, letters_only
 from weftline.operators.records import firsts, seeded
 from weftline.operators.select import before
 from weftline.sources import shared
@@ -157,3 +157,45 @@ def write_changed(dossiers: DataFrame, path: str, key: str, buckets: int = 64) -
             shared.removed(spark, f"{path}/rows/bucket={b}")
         marks.write.mode("overwrite").parquet(f"{path}/marks")
     return len(changed)
+
+
+def over_and_under(cells: DataFrame, entity: str, category: str, n: str, least: int = 3, gap: float = 0.03, most: int = 4, fewest: int = 3) -> DataFrame:
+    """entity, more, less: categories (category, n, lift) whose share of the entity's units lies above their share of all units by over ``gap``, or as far below.
+
+    Lift is rounded to 3 digits before it is compared. ``more`` holds the ``most`` greatest with ``least`` units or more, ``less`` the
+    ``fewest`` smallest, both by falling lift, ties by name. No more than these are gathered of an entity. Cells with nulls are left
+    out; an entity without any such category has no row.
+    """
+    cells = cells.select(entity, category, n).na.drop()
+    shares = cells.groupBy(category).agg(F.sum(n).alias("_all")).withColumn("_share", F.col("_all") / F.sum("_all").over(Window.partitionBy()))  # a row a category
+    own = cells.groupBy(entity).agg(F.sum(n).alias("_own"))
+    lift = F.round(F.col(n) / F.col("_own") - F.col("_share"), 3)
+    rows = cells.join(shares.select(category, "_share"), category).join(own, entity).select(entity, category, n, lift.alias("lift"))
+    above = firsts(rows.where((F.col(n) >= least) & (F.col("lift") > gap)), entity, [F.desc("lift"), F.col(category)], most)
+    below = firsts(rows.where(F.col("lift") < -gap), entity, [F.col("lift"), F.desc(category)], fewest)
+    both = above.withColumn("_up", F.lit(True)).unionByName(below.withColumn("_up", F.lit(False)))
+    placed = F.struct((-F.col("lift")).alias("down"), category, n, "lift")
+    side = lambda up: F.transform(F.array_sort(F.collect_list(F.when(F.col("_up") == up, placed))), lambda x: x.dropFields("down"))
+    return both.groupBy(entity).agg(side(True).alias("more"), side(False).alias("less"))
+
+
+def dossiers(base: DataFrame, key: str, **parts: DataFrame) -> DataFrame:
+    """``base`` with a struct for each part, of its columns; null where the part has no row of the key. Parts have a row a key at most, so nothing is gathered."""
+    for name, part in parts.items():
+        base = base.join(part.select(key, F.struct(*[c for c in part.columns if c != key]).alias(name)), key, "left")
+    return base
+
+
+def base_figures(units: DataFrame, decided: DataFrame, cited: DataFrame) -> DataFrame:
+    """kind, value, n, total, rate: what entities are measured against.
+
+    ``units`` (category) gives the distribution of categories, ``decided`` (won, 0 or 1) one row with the rate of wins,
+    ``cited`` (cite) counts of citations in one spelling each. Nulls and blank citations don't count; without any decided row that rate is null.
+    """
+    def shares(rows: DataFrame, kind: str) -> DataFrame:
+        counts = rows.where("value IS NOT NULL AND value <> ''").groupBy("value").agg(F.count("*").alias("n"))
+        return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total")))).select(F.lit(kind).alias("kind"), "value", "n", "total")  # one row
+
+    wins = decided.agg(F.coalesce(F.sum(F.col("won").cast("long")), F.lit(0)).alias("n"), F.count("won").alias("total")).select(F.lit("won").alias("kind"), F.lit("all").alias("value"), "n", "total")
+    parts = shares(units.select(F.col("category").alias("value")), "category").unionByName(wins).unionByName(shares(cited.select(citation(F.col("cite")).alias("value")), "authority"))
+    return parts.withColumn("rate", F.round(F.try_divide(F.col("n").cast("double"), F.col("total")), 6))
