@@ -56,14 +56,11 @@ KNOWN_SQL = "q AS (SELECT doc_id AS query_id, array_to_string(regexp_extract_all
 def known_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id and the rank of the document that each query was taken from; null if it wasn't found.
 
-    Documents that beat the target are counted; nothing is sorted.
+    Documents that beat the target are counted in cells; no pair of query and document is ever a row.
     """
     docs = table(spark, sf_dir, "documents")
     asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(tokens(F.col("text")), 5, 12), " ").alias("text"))
-    scored = index.table_index(spark, sf_dir).scores(asked)
-    target = scored.where("id = query_id").select("query_id", F.col("score").alias("own"))
-    beaten = (F.col("score") > F.col("own")) | (F.col("score") == F.col("own")) & (F.col("id") < F.col("query_id"))
-    ranked = scored.join(target, "query_id").groupBy("query_id").agg((1 + F.count_if(beaten & (F.col("id") != F.col("query_id")))).alias("rank"))
+    ranked = index.table_index(spark, sf_dir).ranks(asked, asked.select("query_id", F.col("query_id").alias("id")))
     return asked.select("query_id").join(ranked, "query_id", "left")
 
 

@@ -6,6 +6,7 @@ import hashlib
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,22 @@ def removed(spark: SparkSession, path: str) -> bool:
     return fs.delete(target, True)
 
 
+def moved(spark: SparkSession, path: str, target: str) -> bool:
+    """Moves a table to a place where there is none yet; tells whether it did. Where one came there meanwhile, that one stays."""
+    option = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(option, 1)
+    options[0] = option.NONE
+    fs, source = file_system(spark, path)
+    place = fs.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(target))
+    try:
+        spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsparkSession.sessionState().newHadoopConf()).rename(fs.makeQualified(source), place, options)
+    except Py4JJavaError:
+        if not fs.exists(place):
+            raise
+        return False
+    return True
+
+
 def names_in(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder, the oldest first."""
     fs, target = file_system(spark, path)
