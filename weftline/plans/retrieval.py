@@ -185,10 +185,7 @@ def passage_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, holders, rank: of each benchmark passage, how many documents hold it, and where the first of them ranks; null if none does."""
     docs, asked = table(spark, sf_dir, "documents"), items(spark, sf_dir)
     held = kept(passages.holding(docs, asked, passage_id="query_id").select(F.col("passage").alias("query_id"), "id"), "held")
-    scored = kept(index.table_index(spark, sf_dir).scores(asked), "scored")
-    own = scored.join(held.distinct(), ["query_id", "id"]).groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("less"), "id")).alias("t"))
-    beats = F.struct((-F.col("score")).alias("less"), "id") < F.col("t")
-    ranks = scored.join(own, "query_id").groupBy("query_id").agg((1 + F.count_if(beats)).alias("rank"))
+    ranks = index.table_index(spark, sf_dir).ranks(asked, held)
     holders = held.groupBy("query_id").agg(F.count("*").alias("holders"))
     return asked.select("query_id").join(holders, "query_id", "left").join(ranks, "query_id", "left").select("query_id", F.coalesce("holders", F.lit(0)).alias("holders"), "rank")
 
