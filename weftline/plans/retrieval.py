@@ -46,8 +46,7 @@ def p03_filtered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters (an equality and a case-insensitive part of a name) choose candidates; statistics stay those of all documents."""
     docs = table(spark, sf_dir, "documents")
     allowed = docs.where((F.col("lang") == "fr") & F.lower("source").contains("1")).select(F.col("doc_id").alias("id"))
-    scored = index.table_index(spark, sf_dir).scores(items(spark, sf_dir)).join(allowed, "id", "left_semi")
-    return search.best(scored, ["query_id"], [F.desc("score"), F.col("id")], 10).select("query_id", "rank", "id", "score")
+    return index.table_index(spark, sf_dir).best(items(spark, sf_dir), 10, allowed)
 
 
 KNOWN_SQL = "q AS (SELECT doc_id AS query_id, array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')[5:16], ' ') AS text FROM documents WHERE doc_id % 50 = 0)"
