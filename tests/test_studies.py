@@ -118,3 +118,21 @@ def test_matters_rendered(spark):
     df = spark.createDataFrame([(None, None, None), ("b", ["x", None], "1999x"), ("{a}", [], "no")], "basis string, lines array<string>, no string")
     F_ = df.select(tx.fingerprint(F.col("basis"), F.col("lines")).alias("f"), tx.filled("<{a}|{b}>", a=F.col("basis"), b=F.size("lines")).alias("p"), tx.era(tx.case_year(F.col("no"))).alias("era"), tx.one_category(F.col("basis"), {"b": "c"}).alias("c"))
     assert [tuple(r) for r in F_.collect()] == [("Basis: ", "<-|->", "unknown", None), ("Basis: b | x", "<b|2>", "1999-2001", "c"), ("Basis: {a}", "<{a}|0>", "unknown", "{a}")]
+
+
+def test_evidence_of_citation_scores_holds_what_can_be_told_apart(spark, monkeypatch):
+    from weftline.plans import studies as plans
+
+    seen = {}
+    monkeypatch.setattr(plans.studies, "citation_scores", lambda analyses, known, evidence: seen.update(known=known, evidence=evidence) or analyses.withColumn("unresolved", F.array(F.lit(""))))
+    plans.m12_citation_scores(spark, "/root/testdata/sf0.1")
+    keys = seen["evidence"].join(seen["known"], "hid").groupBy("id", "district", "judge", "year").agg(F.count("*").alias("n"))
+    assert keys.agg(F.max("n")).first()[0] == 1
+
+
+def test_patterns_run_only_where_their_words_stand(spark):
+    rows = spark.createDataFrame([(1, "no token, token. not token Token"), (2, "tokens"), (3, "not token token token"), (4, None), (5, "the note token")], "k long, t string")
+    found = studies.spotted(rows, "k", "t", [("x", "token", 2), ("y", "the", 1)])
+    assert sorted(map(tuple, found.collect())) == [(5, "x", 2, "token"), (5, "y", 1, "the")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(low" in plan and "not token" in plan

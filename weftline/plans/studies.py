@@ -46,7 +46,9 @@ def m12_citation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("See "), "n_name", F.lit(" Unified (ALJ "), judge, F.lit("), "), year(9), F.lit("; "), "n_name", F.lit(" ("), judge, F.lit("), "), year(9), F.lit("; Elsewhere ("), judge, F.lit("), "), year(4), F.lit("; "), "n_name", F.lit(" Unified (Doe), "), year(5), F.lit("; Nowhere (Roe), 2004."))
     analyses = c.select(F.col("c_custkey").alias("id"), "c_nationkey", F.when(F.col("c_custkey") % 11 != 0, text).alias("text"))
     known = table(spark, sf_dir, "supplier").join(place, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("hid"), "s_nationkey", F.concat("n_name", F.lit(" Unified")).alias("district"), F.col("r_name").alias("judge"), (1990 + F.col("s_suppkey") % 7).cast("int").alias("year"))
-    a, k = analyses.withColumn("m", F.col("id") % 3), known.withColumn("m", F.pmod(-F.col("hid"), F.lit(3)))
+    # suppliers that a citation can't tell apart are the same evidence: the first of them stands for all
+    told_apart = known.withColumn("m", F.pmod(-F.col("hid"), F.lit(3))).groupBy("s_nationkey", "district", "judge", "year", "m").agg(F.min("hid").alias("hid"))
+    a, k = analyses.withColumn("m", F.col("id") % 3), told_apart
     evidence = a.where("id % 5 <> 0").join(k, (a["c_nationkey"] == k["s_nationkey"]) & (a["m"] == k["m"])).select("id", "hid")
     return studies.citation_scores(analyses.select("id", "text"), known, evidence).withColumn("unresolved", F.array_join("unresolved", "; "))
 
