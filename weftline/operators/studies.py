@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,15 +110,16 @@ def spotted(rows: DataFrame, key: str, text: str, rules: list[tuple[str, str, in
     rules: issue, trigger, weight. A trigger counts at each whole word in lower case; each one after ``no`` or ``not`` counts
     against it, once for itself and once more. All rules are looked at in one pass over the texts, which go nowhere.
     """
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    rows = rows.select(F.col(key).alias("key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low"))
 
     def net(trigger: str) -> Column:
-        count = lambda p: F.size(F.regexp_extract_all(low, F.lit(p), F.lit(0)))
+        # what a pattern can't do without is looked for first, as plain text
+        count = lambda p, *needs: F.when(functools.reduce(operator.or_, [F.contains("low", F.lit(n)) for n in needs]), F.size(F.regexp_extract_all("low", F.lit(p), F.lit(0)))).otherwise(0)
         word = rf"(^|[^a-z0-9]){trigger}($|[^a-z0-9])"
-        return count(word) - 2 * count(rf"(^|[^a-z0-9])not? {trigger}($|[^a-z0-9])")
+        return count(word, trigger) - 2 * count(rf"(^|[^a-z0-9])not? {trigger}($|[^a-z0-9])", f"no {trigger}", f"not {trigger}")
 
     hits = F.array(*[F.struct(F.lit(i).alias("issue"), F.lit(t).alias("trigger"), (w * net(t)).cast("long").alias("points")) for i, t, w in rules])
-    told = rows.select(F.col(key).alias("key"), F.explode(F.filter(hits, lambda h: h["points"] != 0)).alias("h"))
+    told = rows.select("key", F.explode(F.filter(hits, lambda h: h["points"] != 0)).alias("h"))
     sums = told.groupBy("key", "h.issue").agg(F.sum("h.points").alias("score"), F.array_join(F.array_sort(F.collect_set("h.trigger")), ", ").alias("triggers"))
     return sums.where("score > 0")
 
