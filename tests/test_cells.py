@@ -1,5 +1,9 @@
 """Scores in cells: results of plain scoring, whatever the blocks, and no row of pairs."""
 
+import math
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +63,33 @@ def test_weights_of_nothing_and_below_it(spark, tmp_path):
     assert rows(made.best(queries, 9)) == rows(want)
     empty = index.build_or_open(docs.limit(0), str(tmp_path / "empty"))
     assert empty.best(queries).count() == 0 and empty.ranks(queries, queries.select("query_id", F.lit(1).cast("long").alias("id"))).count() == 0
+
+
+@pytest.mark.parametrize("terms", [400, 10**6])
+def test_cosines_of_a_category_are_those_of_a_plain_pass(spark, monkeypatch, terms):
+    monkeypatch.setattr(cells, "DOC_TERMS", terms)
+    monkeypatch.setattr(cells, "QUERY_TERMS", terms // 4)
+    rng, words = random.Random(5), [a + b + "words" for a in "abcdefgh" for b in "stuvwxyz"]
+    texts = [(i, rng.choice(["en", "fr"]), " ".join(rng.choices(words, k=rng.randrange(0, 30)))) for i in range(120)]
+    texts += [(i + 1000, lang, text) for i, lang, text in texts[::5]] + [(5000, "en", None), (5001, None, "aswords")]
+    docs = spark.createDataFrame(texts, "doc_id long, lang string, text string")
+    asked = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("query_id"), F.col("lang").alias("category"), F.col("doc_id").alias("exclude"), "text")
+    sets = {i: (lang, set((text or "").split())) for i, lang, text in texts}
+    df = {lang: Counter(w for other, s in sets.values() if other == lang for w in s) for lang in ("en", "fr")}
+    n = Counter(lang for lang, _ in sets.values())
+    want = {}
+    for i, (lang, own) in sets.items():
+        if i % 3 == 0 and lang:
+            q = {w: math.log((n[lang] - 1) / (df[lang][w] - 1)) ** 2 for w in own if df[lang][w] > 1}
+            for j, (other, s) in sets.items():
+                dot = sum(q.get(w, 0) for w in s) if other == lang and j != i else 0
+                if dot > 0:
+                    want[i, j] = dot / (math.sqrt(sum(q.values())) * math.sqrt(sum(math.log(n[lang] / df[lang][w]) ** 2 for w in s)))
+    got = {(r["query_id"], r["id"]): r["score"] for r in search.tfidf(docs, asked, 10**6).collect()}
+    assert got == pytest.approx(want, abs=2e-6) and len(want) > 1000
+    best = search.best(search.tfidf(docs, asked, 4), ["query_id"], [F.desc("score"), F.col("id")], 4)
+    everything = search.best(search.tfidf(docs, asked, 10**6), ["query_id"], [F.desc("score"), F.col("id")], 4)
+    assert rows(best) == rows(everything)
+    sides = docs.where("doc_id % 4 <> 1").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 2 == 0).alias("side"))
+    of_sides = search.tfidf(docs, asked, 10**6, sides=sides).collect()
+    assert {(r["query_id"], r["id"]): r["side"] for r in of_sides} == {(i, j): j % 2 == 0 for i, j in got if j % 4 != 1}

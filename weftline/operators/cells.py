@@ -125,6 +125,33 @@ def best_of(k: int) -> tuple[Fold, str]:
     return fold, "query_id long, id long, score double"
 
 
+def once(tfs: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Words count once, whatever the document."""
+    return np.ones(len(tfs))
+
+
+def best_cosine(k: int) -> tuple[Fold, str]:
+    """query_id, id, score: each query's ``k`` best of a cell but for ``exclude``, by sums over 0 divided by both norms (``scale``, ``q_norm``)."""
+
+    def fold(docs: pa.Table, queries: pa.Table, ids: np.ndarray, rows: Iterator) -> dict:
+        norm = np.zeros(len(ids))
+        norm[np.searchsorted(ids, docs["id"].to_numpy())] = docs["scale"].to_numpy()
+        names, less, q_norm, out = queries["query_id"].to_numpy(), queries["exclude"].to_numpy(), queries["q_norm"].to_numpy(), [[], [], []]
+        for i, s, _ in rows:
+            at = np.flatnonzero((s > 0) & (ids != less[i]))
+            score = s[at] / (q_norm[i] * norm[at])
+            if len(at) > k:
+                near = score >= np.partition(score, len(at) - k)[len(at) - k] - 10.0**-DIGITS
+                at, score = at[near], score[near]
+            score = np.round(score, DIGITS) + 0.0
+            o = np.lexsort((at, -score))[:k]
+            for column, values in zip(out, (np.full(len(o), names[i]), ids[at[o]], score[o]), strict=True):
+                column.append(values)
+        return {c: np.concatenate(v) if v else [] for c, v in zip(("query_id", "id", "score"), out, strict=True)}
+
+    return fold, "query_id long, id long, score double"
+
+
 def held_best(docs: pa.Table, queries: pa.Table, ids: np.ndarray, rows: Iterator) -> dict:
     """query_id, own_score, own_id: of a cell's documents that name the query in ``holds``, the one that comes first."""
     holds, ends = flat(docs["holds"])

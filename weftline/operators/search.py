@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import content_words, tokens
+from weftline.operators import cells
 from weftline.operators.select import before
 from weftline.sources.shared import kept
 
@@ -76,23 +77,28 @@ def fused_with_order(queries: DataFrame, scored: DataFrame, allowed: DataFrame,
     return best(rows, ["query_id"], [F.desc("score"), F.col("r1")], k).select("query_id", "rank", "id", "score")
 
 
-def tfidf(docs: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", category: str = "lang") -> DataFrame:
-    """query_id, id, score: cosine of content words weighted ln(N/df), within the query's category and without the documents it excludes.
+def tfidf(docs: DataFrame, queries: DataFrame, k: int, *, id_col: str = "doc_id", text_col: str = "text", category: str = "lang", sides: DataFrame | None = None) -> DataFrame:
+    """query_id, id, score: cosine of content words weighted ln(N/df), within the query's category and without the documents it excludes: candidates for its ``k`` best.
 
-    Words count once a text. N and df are those of the category less the exclusions, so they are kept
-    per query: category figures are corrected by those of the one excluded document (``exclude``).
+    Words count once a text. N and df are those of the category less the query's own text (``exclude``), for the
+    query's weights. Scores are made in cells, so no pair of query and document is a row; each cell gives a query's
+    ``k`` best; with ``sides`` (id, side: true or false) the ``k`` best of either side among its documents, with their side.
     """
-    words = docs.select(F.col(id_col).alias("id"), F.col(category).alias("category"), F.explode(content_words(F.col(text_col))).alias("word"))
-    sizes = docs.groupBy(F.col(category).alias("category")).agg(F.count("*").alias("n"))
-    df = words.groupBy("category", "word").agg(F.count("*").alias("df"))
-    q = queries.join(sizes, "category").select("query_id", "category", "exclude", (F.col("n") - 1).alias("n"), F.explode(content_words(F.col("text"))).alias("word"))
+    given = docs.select(F.col(id_col).alias("id"), F.col(category).alias("category"), F.transform(content_words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("terms"))
+    given = kept(given.where("category IS NOT NULL"), "words")
+    words = given.select("id", "category", F.explode("terms").alias("term"))
+    df = kept(words.groupBy("category", "term").agg(F.count("*").alias("df")).join(given.groupBy("category").agg(F.count("*").alias("n")), "category"), "df")
+    norms = words.join(df, ["category", "term"]).groupBy("id").agg(F.sqrt(F.sum(F.log(F.col("n") / F.col("df")) ** 2)).alias("scale"))
     # the excluded document is the query's own text, so each of its words has one document less
-    q = q.join(df, ["category", "word"]).select("query_id", "category", "exclude", "word", F.col("n"), (F.col("df") - 1).alias("df")).where("df > 0")
-    hits = q.join(words, ["category", "word"]).where("id <> exclude").withColumn("w", F.log(F.col("n") / F.col("df")))
-    dots = hits.groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
-    own = q.groupBy("query_id").agg(F.sqrt(F.sum(F.log(F.col("n") / F.col("df")) ** 2)).alias("q_norm"))
-    norms = words.join(df, ["category", "word"]).join(sizes, "category").groupBy("id").agg(F.sqrt(F.sum(F.log(F.col("n") / F.col("df")) ** 2)).alias("norm"))
-    return dots.join(own, "query_id").join(norms, "id").where("dot > 0").select("query_id", "id", F.round(F.col("dot") / (F.col("q_norm") * F.col("norm")), 6).alias("score"))
+    q = queries.select("query_id", "category", "exclude", F.explode(F.transform(content_words(F.col("text")), lambda w: F.xxhash64(w))).alias("term"))
+    q = q.join(df, ["category", "term"]).where("df > 1").select("query_id", "category", "exclude", "term", (F.log((F.col("n") - 1) / (F.col("df") - 1)) ** 2).alias("weight"))
+    asked = q.groupBy(F.col("category").alias("group"), "query_id", "exclude").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("t"), F.sqrt(F.sum("weight")).alias("q_norm"))
+    asked = asked.select("group", "query_id", "exclude", "q_norm", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"))
+    ready = given.join(norms, "id").select(F.col("category").alias("group"), "id", "scale", "terms", F.array_repeat(F.lit(1), F.size("terms")).alias("tfs"))
+    if sides is None:
+        return cells.folded(ready, asked, cells.once, *cells.best_cosine(k))
+    found = [cells.folded(ready.join(sides.where(F.col("side") == s).select("id"), "id", "left_semi"), asked, cells.once, *cells.best_cosine(k)).withColumn("side", F.lit(s)) for s in (True, False)]
+    return found[0].unionByName(found[1])
 
 
 def balanced(scored: DataFrame, side: str, k: int) -> DataFrame:

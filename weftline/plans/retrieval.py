@@ -110,15 +110,16 @@ norms AS (SELECT id, sqrt(sum(ln(n / df) ** 2)) AS norm FROM words JOIN df USING
 tf AS (SELECT query_id, id, round(dot / (qn * norm), 6) AS score FROM dots JOIN own USING (query_id) JOIN norms USING (id) WHERE dot > 0)"""
 
 
-def tfidf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tfidf_scores(spark: SparkSession, sf_dir: str, k: int, sides: DataFrame | None = None) -> DataFrame:
+    """Candidates of every hundredth document's ``k`` most alike; with ``sides`` (id, side) those of either side."""
     docs = table(spark, sf_dir, "documents")
     asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("lang").alias("category"), F.col("doc_id").alias("exclude"), "text")
-    return search.tfidf(docs, asked)
+    return search.tfidf(docs, asked, k, sides=sides)
 
 
 @query(f"WITH {TFIDF_SQL} {TOPK_SQL.format('tf', 8)}")
 def r06_tfidf_in_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.best(tfidf_scores(spark, sf_dir), ["query_id"], [F.desc("score"), F.col("id")], 8).select("query_id", "rank", "id", "score")
+    return search.best(tfidf_scores(spark, sf_dir, 8), ["query_id"], [F.desc("score"), F.col("id")], 8).select("query_id", "rank", "id", "score")
 
 
 @query(f"""WITH {TFIDF_SQL}, s AS (SELECT tf.*, quality = 1 AS good FROM tf JOIN labels ON id = doc_id),
@@ -127,7 +128,7 @@ p AS (SELECT *, CASE WHEN r > 3 THEN 2 WHEN good THEN 0 ELSE 1 END AS part FROM
 SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY part, score DESC, id) AS rank, id, good, score FROM p) WHERE rank <= 6""")
 def r07_balanced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("good"))
-    return search.balanced(tfidf_scores(spark, sf_dir).join(labels, "id"), "good", 6).select("query_id", "rank", "id", "good", "score")
+    return search.balanced(tfidf_scores(spark, sf_dir, 6, labels.withColumnRenamed("good", "side")).withColumnRenamed("side", "good").join(labels, ["id", "good"]), "good", 6).select("query_id", "rank", "id", "good", "score")
 
 
 PROFILES_SQL = f"""c AS (SELECT category, word, count(*) AS c FROM (SELECT lang AS category, unnest({CONTENT_SQL}) AS word FROM documents) GROUP BY 1, 2),
