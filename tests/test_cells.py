@@ -93,3 +93,14 @@ def test_cosines_of_a_category_are_those_of_a_plain_pass(spark, monkeypatch, ter
     sides = docs.where("doc_id % 4 <> 1").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 2 == 0).alias("side"))
     of_sides = search.tfidf(docs, asked, 10**6, sides=sides).collect()
     assert {(r["query_id"], r["id"]): r["side"] for r in of_sides} == {(i, j): j % 2 == 0 for i, j in got if j % 4 != 1}
+
+
+def test_fusion_in_cells_is_that_of_all_pairs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cells, "DOC_TERMS", 1500)
+    docs = corpus(spark).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).localCheckpoint()
+    queries = asked(spark).where("query_id IS NOT NULL")
+    made = index.build_or_open(docs, str(tmp_path / "index"))
+    allowed = docs.where("doc_id % 3 > 0").select(F.col("doc_id").alias("id"), (F.col("doc_id") * 7 % 50).alias("b"))
+    pairs = queries.select("query_id").crossJoin(allowed).join(search.bm25(docs, queries), ["query_id", "id"], "left").fillna(0.0, ["score"])
+    want = search.fused(pairs.withColumn("b", -F.col("b")), "score", "b", 10)
+    assert rows(made.fused(queries, allowed, "b", 10)) == rows(want) and not shared.exists(spark, f"{made.path}/blocks")

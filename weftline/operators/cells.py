@@ -187,6 +187,22 @@ def beaten(docs: pa.Table, queries: pa.Table, ids: np.ndarray, rows: Iterator) -
 BEATEN = "query_id long, beats long"
 
 
+def placed(k: int) -> tuple[Fold, str]:
+    """query_id, id, score, beats: the ``k`` best of all a cell's documents (beats null), those without a shared term score 0; and for each of a query's ``own_ids`` with ``own_scores`` how many come before it."""
+
+    def fold(docs: pa.Table, queries: pa.Table, ids: np.ndarray, rows: Iterator) -> dict:
+        names, own, scores = queries["query_id"].to_pylist(), queries["own_ids"].to_pylist(), queries["own_scores"].to_pylist()
+        out = []
+        for i, s, _ in rows:
+            score = np.round(s, DIGITS) + 0.0
+            at = np.lexsort((ids, -score))[:k]
+            out += [(names[i], x, y, None) for x, y in zip(ids[at].tolist(), score[at].tolist(), strict=True)]
+            out += [(names[i], x, y, int((score > y).sum() + ((score == y) & (ids < x)).sum())) for x, y in zip(own[i], scores[i], strict=True)]
+        return dict(zip(("query_id", "id", "score", "beats"), map(list, zip(*out, strict=True)) if out else ([], [], [], []), strict=True))
+
+    return fold, "query_id long, id long, score double, beats long"
+
+
 def packed(terms: DataFrame) -> DataFrame:
     """One row a group and query (group, query_id, terms, weights) of rows (group, query_id, term, weight), terms in the order of their hashes."""
     one = terms.groupBy("group", "query_id").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("t"))

@@ -96,8 +96,8 @@ SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER B
 def r03_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 fused with closeness to a length; every document of the language is a candidate of every query, whatever its scores."""
     docs, asked = table(spark, sf_dir, "documents"), items(spark, sf_dir)
-    allowed = docs.where("lang = 'es'").select(F.col("doc_id").alias("id"), F.abs(F.col("n_chars") - 400).alias("b"), F.lit(0).alias("all"))
-    return search.fused_with_order(asked.select("query_id").distinct(), index.table_index(spark, sf_dir).scores(asked), allowed, "b", 10)
+    allowed = docs.where("lang = 'es'").select(F.col("doc_id").alias("id"), F.abs(F.col("n_chars") - 400).alias("b"))
+    return index.table_index(spark, sf_dir).fused(asked, allowed, "b", 10)
 
 
 TFIDF_SQL = f"""words AS (SELECT doc_id AS id, lang AS category, unnest({CONTENT_SQL}) AS word FROM documents),
