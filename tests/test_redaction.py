@@ -102,3 +102,24 @@ def test_nested_records_keep_their_shape(spark):
     assert got[1] == {"title": hide(whole["title"]), "n": 3, "parts": parts, "more": {k: hide(v) for k, v in whole["more"].items()}}
     assert "Ames" not in str({**got[1], "more": list(got[1]["more"].values())}) and "R1" in got[1]["title"]
     assert redaction.nested_deidentified(table.limit(0), "record", "roster", "judge", "district").count() == 0
+
+
+def test_names_of_latin_letters_take_no_pattern(monkeypatch):
+    texts = ["", "AMES met Ámes, ames2 and Ames_", "Ames Ames (Ames)", "O'Neil-Ames, O'NEIL", "ſmith, ſMITH and Smith's", "kelly, Kelly and KELLY", "Smitth wrote to Müller, MÜLLER and Muller", "ΣAmes Ames"]
+    found = lambda t, n: [m.span() for m in re.finditer(rf"\b{re.escape(n)}\b", t, re.IGNORECASE)]
+    for name in ["Ames", "Ámes", "O'Neil", "(Ames)", "Müller"]:
+        for t in filter(redaction.latin, texts):
+            assert [*redaction.whole_words(t.lower(), name.lower())] == found(t, name)
+    for name, mark in [("Smith", "R1"), ("Kelly", "R2")]:
+        for t in texts:
+            spans = [(a, b) for a, b in found(t, name) if not t[a:b].islower()]
+            hidden = redaction.pseudonymous(t, {name: mark}, set(), "", "")[0]
+            assert hidden.count(mark) >= len(spans)
+    assert redaction.pseudonymous("Smitth of Smith", {"Smith": "R1"}, set(), "", "") == ("R1 of R1", 2)
+
+    def pattern(*args):
+        raise AssertionError("a pattern for one name")
+
+    monkeypatch.setattr(redaction.re, "finditer", pattern)
+    for i in range(3):
+        assert redaction.pseudonymous(f"line of Customer#{i}, not Customer#{i}1", {f"Customer#{i}": "R1"}, {f"customer#{i}"}, "", "") == (f"line of R1, not Customer#{i}1", 1)

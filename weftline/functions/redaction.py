@@ -53,6 +53,7 @@ TITLED = rf"\b(?:Mr|Mrs|Ms|Dr|Prof|Superintendent|Principal|Director|Coordinator
 TWO_NAMES = rf"\b{NAME_WORD}\s+{NAME_WORD}\b"
 CITE = r"([A-Z][\w.,'&/ -]{0,60}?)?\(\s*(?:ALJ\s+)?([A-Z][a-zà-ÿ'’-]+)\s*\)\s*,?\s*((?:19|20)\d{2})"
 NEAR_WORD = re.compile(r"\b[A-Z][A-Za-zà-ÿ'\-]{2,}\b")
+NO_NEAR_LETTER = re.compile(r"[^a-zà-ÿ'\-]")
 BEFORE_MARK = re.compile(r"\b([A-Za-zà-ÿ'\-]+)\s+(?=R\d+\b|\[a respondent\])")
 
 
@@ -124,35 +125,76 @@ def one_edit(a: str, b: str) -> bool:
     return a[start + 1 :] == b[start + 1 :] or a[start:] == b[start + 1 :] or a[start + 1 :] == b[start:]
 
 
-def pseudonymous(text: str, marks: dict[str, str], firsts: set[str], judge: str, district: str) -> tuple[str, int]:
-    """The text with names as marks, longest names first, and the number of replacements; spans once taken stay."""
+def latin(text: str) -> bool:
+    """Whether a letter of the text matches in either case just what has the same lower-case letter: so it is within Latin-1."""
+    return text.isascii() or max(text) <= "\xff"
+
+
+def whole_words(text: str, name: str) -> Iterator[tuple[int, int]]:
+    """Spans of ``name`` in ``text``, spelt just so, between word boundaries as ``\\b`` has them.
+
+    Every row has names of its own, so a pattern for each would be compiled anew for each row.
+    """
+    a, size, last = text.find(name), len(name), len(text)
+    while a >= 0:
+        b = a + size
+        before, after = a > 0 and (text[a - 1].isalnum() or text[a - 1] == "_"), b < last and (text[b].isalnum() or text[b] == "_")
+        if before != (name[0].isalnum() or name[0] == "_") and after != (name[-1].isalnum() or name[-1] == "_"):
+            yield a, b
+            a = text.find(name, b)
+        else:
+            a = text.find(name, a + 1)
+
+
+def ordered(marks: dict[str, str]) -> tuple[list[tuple[str, str, str, bool]], list[tuple[str, str]]]:
+    """Names with their lower case and mark, longest first, and surnames that a word may be one edit away from; worked out once a row."""
+    names = [(n, n.lower(), marks[n], latin(n)) for n in sorted(marks, key=len, reverse=True)]
+    # an edit changes one letter, so a name with two that no near word has is near none
+    surnames = [(low, mark) for n, low, mark, _ in names if " " not in n and len(n) >= 5 and len(NO_NEAR_LETTER.sub("", low)) >= len(low) - 1]
+    return names, surnames
+
+
+def pseudonymous(text: str, marks: dict[str, str], firsts: set[str], judge: str, district: str, known: tuple | None = None) -> tuple[str, int]:
+    """The text with names as marks, longest names first, and the number of replacements; spans once taken stay. ``known``: ``ordered`` of the marks."""
+    names, surnames = known or ordered(marks)
     spans: list[tuple[int, int, str]] = []
     free = lambda a, b: all(b <= x or a >= y for x, y, _ in spans)
-    for name in sorted(marks, key=len, reverse=True):
-        for m in re.finditer(rf"\b{re.escape(name)}\b", text, re.IGNORECASE):
-            if (" " in name or not m[0].islower()) and free(*m.span()):
-                spans.append((*m.span(), marks[name]))
-    surnames = [(n.lower(), mark) for n, mark in marks.items() if " " not in n and len(n) >= 5]
+    plain, lower = text.isascii() or latin(text), text.lower()
+    for name, low, mark, simple in names:
+        # beyond Latin-1 a letter may match several in either case, which a pattern knows
+        if plain and simple:
+            if low not in lower:
+                continue
+            found = whole_words(lower, low)
+        else:
+            found = (m.span() for m in re.finditer(rf"\b{re.escape(name)}\b", text, re.IGNORECASE))
+        for a, b in found:
+            if (" " in name or not text[a:b].islower()) and (not spans or free(a, b)):
+                spans.append((a, b, mark))
     near: dict[str, str] = {}
-    for word in {m[0] for m in NEAR_WORD.finditer(text) if free(*m.span())}:
+    for word in {m[0] for m in NEAR_WORD.finditer(text) if free(*m.span())} if surnames else ():
         low = word.lower()
         if not (word.isupper() or low == judge or low in district or low in NEVER_NEAR):
             if found := {mark for n, mark in surnames if one_edit(low, n)}:
                 near[word] = found.pop() if len(found) == 1 else "[a respondent]"
     for word, mark in near.items():
-        spans += [(*m.span(), mark) for m in re.finditer(rf"\b{re.escape(word)}\b", text) if free(*m.span())]
-    at, out = 0, []
+        spans += [(a, b, mark) for a, b in whole_words(text, word) if free(a, b)]
+    at, joined, pieces = 0, "", 0
     for a, b, mark in sorted(spans):
-        out += [text[at:a], mark]
+        joined += text[at:a] + mark
         at = b
-    pieces, joined = 0, "".join([*out, text[at:]])
+    joined += text[at:]
 
     def alone(m: re.Match) -> str:
         nonlocal pieces
         pieces += m[1].lower() in firsts
         return "" if m[1].lower() in firsts else m[0]
 
-    joined = BEFORE_MARK.sub(alone, joined)
+    left = joined.lower()
+    for first in firsts:
+        if first in left:
+            joined = BEFORE_MARK.sub(alone, joined)
+            break
     return joined, len(spans) + pieces
 
 
@@ -167,7 +209,8 @@ def deidentified(texts: pd.Series, roster: pd.Series, judge: pd.Series, district
     for row, names, j, d in zip(texts, roster, judge, district, strict=True):
         j, d = (j or "").lower(), (d or "").lower()
         marks, firsts = wanted_names(names if names is not None else [], j, d)
-        changed = [pseudonymous(t or "", marks, firsts, j, d) for t in (row if row is not None else [])]
+        order = ordered(marks)
+        changed = [pseudonymous(t or "", marks, firsts, j, d, order) for t in (row if row is not None else [])]
         out.append([{"text": t, "n": n} for t, n in changed])
     return pd.Series(out)
 
@@ -176,7 +219,7 @@ def walked(values: pa.Array, rows: np.ndarray, change: Callable[[str, int], str]
     """``values`` of any nested type with each string leaf changed, given the number of the row that it belongs to; map keys stay."""
     kind = values.type
     if pa.types.is_string(kind) or pa.types.is_large_string(kind):
-        return pa.array([None if t is None else change(t, r) for t, r in zip(values.to_pylist(), rows, strict=True)], kind)
+        return pa.array([None if t is None else change(t, r) for t, r in zip(values.to_numpy(zero_copy_only=False), rows.tolist(), strict=True)], kind)
     if pa.types.is_struct(kind):
         inner = [walked(x, rows, change) for x in values.flatten()]
         return pa.StructArray.from_arrays(inner, fields=list(kind), mask=values.is_null()) if inner else values
@@ -192,6 +235,14 @@ def walked(values: pa.Array, rows: np.ndarray, change: Callable[[str, int], str]
     return values
 
 
+def listed(roster: pa.ListArray) -> list[list[dict]]:
+    """Names and marks of each row's roster, taken by whole columns; nulls name nobody."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(roster), 0).to_numpy(zero_copy_only=False)).tolist()
+    names, marks = (pc.struct_field(roster.flatten(), c).to_numpy(zero_copy_only=False) for c in ("name", "ref"))
+    people = [{"name": n, "ref": m} for n, m in zip(names, marks, strict=True)]
+    return [people[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def nested_deidentified(records: DataFrame, column: str, roster: str, judge: str, district: str) -> DataFrame:
     """``records`` with roster names as marks in every string of a nested column, however deep: structs, arrays and map values.
 
@@ -201,10 +252,11 @@ def nested_deidentified(records: DataFrame, column: str, roster: str, judge: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            people, judges, districts = (b.column(c).to_pylist() for c in (roster, judge, district))
+            judges, districts = (b.column(c).to_numpy(zero_copy_only=False) for c in (judge, district))
             low = [((j or "").lower(), (d or "").lower()) for j, d in zip(judges, districts, strict=True)]
-            known = [wanted_names(names or [], *jd) for names, jd in zip(people, low, strict=True)]
-            changed = walked(b.column(column), np.arange(b.num_rows), lambda t, r: pseudonymous(t, *known[r], *low[r])[0])
+            known = [wanted_names(people, *jd) for people, jd in zip(listed(b.column(roster)), low, strict=True)]
+            order = [ordered(marks) for marks, _ in known]
+            changed = walked(b.column(column), np.arange(b.num_rows), lambda t, r: pseudonymous(t, *known[r], *low[r], order[r])[0])
             yield b.set_column(b.schema.get_field_index(column), b.schema.field(column), changed)
 
     return records.mapInArrow(run, records.schema)
