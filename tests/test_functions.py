@@ -1,5 +1,6 @@
 """Functions and operators on rows whose results are known."""
 
+import uuid
 import math
 
 import numpy as np
@@ -130,3 +131,39 @@ def test_permutation_against_shuffles(spark, blocks):
     assert abs(np.mean([*drawn.values()]) - np.mean(plain)) < 5 * np.std(plain) * (2 / 1500) ** 0.5
     assert abs(np.std([*drawn.values()]) / np.std(plain) - 1) < 0.15
     assert permutation.shuffled_chi2(spark.createDataFrame(cells).limit(0), "e", "s", "l", "n").count() == 0
+
+
+def test_few_cases_are_dealt_as_shuffles_deal_them(monkeypatch):
+    rng = np.random.default_rng(4)
+    sizes, labels = np.array([[3, 2, 1, 300], [0, 1, 2, 2]]), [np.tile([200, 100, 6], (4000, 1)), np.tile([3, 1, 1], (4000, 1))]
+    drawn = np.concatenate([*permutation.shuffles(rng, sizes, labels)], axis=1)
+    assert drawn.min() >= 0 and (drawn.sum(0) == sizes.sum(0)).all() and (drawn.sum(2).T == labels[0][0] + labels[1][0]).all()
+    # means and variances are those of hypergeometric counts, summed over strata
+    for c in range(3):
+        mean = var = 0
+        for n, own in zip(sizes, labels, strict=True):
+            total, p = n.sum(), own[0][c] / n.sum()
+            mean, var = mean + n * p, var + n * p * (1 - p) * (total - n) / (total - 1)
+        assert (abs(drawn[c].mean(0) - mean) < 5 * np.sqrt(var / 4000)).all() and (abs(drawn[c].var(0) / var - 1) < 0.25).all()
+    # arrangements of four cases are as likely as each other
+    found = permutation.dealt(rng, np.array([2, 1, 1]), np.tile([2, 2], (12000, 1)))[0]
+    _, seen = np.unique(found, axis=0, return_counts=True)
+    assert sorted(seen) == pytest.approx([2000, 2000, 4000, 4000], rel=0.1)
+
+    def drawn_alone(*args):
+        raise AssertionError("a draw for one entity of few cases")
+
+    monkeypatch.setattr(permutation, "split", drawn_alone)
+    assert sum(x.shape[1] for x in permutation.shuffles(rng, sizes[:, :3], [np.tile([4, 2], (25, 1)), np.tile([1, 2], (25, 1))])) == 25
+
+
+def test_tested_makes_shuffles_once(spark, tmp_path):
+    def run(batches):
+        for b in batches:
+            (tmp_path / str(uuid.uuid4())).touch()
+            yield b
+
+    drawn = spark.createDataFrame([(0, 2.0), (1, 1.0), (2, 3.0), (3, 2.0)], "turn int, chi2 double").coalesce(1).mapInPandas(run, "turn int, chi2 double")
+    assert tuple(permutation.tested(drawn).first()) == (2.0, 2.0, 3, 0.75)
+    assert len([*tmp_path.iterdir()]) == 1
+    assert tuple(permutation.tested(drawn.limit(0)).first()) == (None, None, 0, 1.0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import permutation, stats
 from weftline.registry import query, table
+from weftline.sources import shared
 
 LEAST = 12
 DECIDED = "d AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS won, year(o_orderdate) AS yr FROM orders WHERE o_orderstatus IN ('F', 'O'))"
@@ -107,8 +108,9 @@ def m06_permutation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def m07_permutation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types of events by user against 5,000 shuffles of types among all events."""
-    cells = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).withColumn("all", F.lit(""))
-    return permutation.tested(permutation.shuffled_chi2(cells.na.drop(), "user_id", "all", "event_type", "n"))
+    cells = table(spark, sf_dir, "events").na.drop(subset=["user_id", "event_type"]).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    cells = shared.kept(cells, "cells").withColumn("all", F.lit(""))
+    return permutation.tested(permutation.shuffled_chi2(cells, "user_id", "all", "event_type", "n"))
 
 
 CELLS = """c AS (SELECT user_id, event_type, count(*) AS obs FROM events GROUP BY 1, 2),
