@@ -98,7 +98,7 @@ def large(cases: DataFrame, entity: str, least: int) -> DataFrame:
 def m06_permutation_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Win rates of entities with 12 cases or more against 5,000 shuffles: of all cases, and within years. Draws are random, by a fixed seed."""
     cases = large(decided(spark, sf_dir), "o_custkey", LEAST)
-    cells = cases.groupBy("o_custkey", "yr", "won").agg(F.count("*").alias("n"))
+    cells = shared.kept(cases.groupBy("o_custkey", "yr", "won").agg(F.count("*").alias("n")), "cells")
     of_all = cells.groupBy("o_custkey", "won").agg(F.sum("n").alias("n")).withColumn("all", F.lit(""))
     both = [("all", of_all, "all"), ("within years", cells, "yr")]
     parts = [permutation.tested(permutation.shuffled_chi2(c, "o_custkey", s, "won", "n")).select(F.lit(name).alias("shuffled"), "*") for name, c, s in both]
