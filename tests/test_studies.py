@@ -70,6 +70,22 @@ def test_arms_ladder_and_packs(spark):
     assert [tuple(r) for r in studies.packs(found, texts, "k", "e", "t").collect()] == [("e", "## heat\n- 4 (2; fire): FIRE!")]
 
 
+def test_tasks_of_arms_grow_with_rows(spark):
+    answers = spark.range(4000).selectExpr("if(id % 3 = 0, 'x', 'y') AS arm", "nullif(id % 500, 0) AS id", "nullif(id % 7, 6) AS issue")
+    truth, costs = answers.where("issue < 3").select("id", "issue"), answers.selectExpr("arm", "id", "cast(issue AS decimal(5, 2)) AS cost")
+    few, many = (studies.arm_scores(answers, truth, costs, rows=n) for n in (10**6, 1000))
+    found = sorted(map(tuple, few.collect()), key=repr)
+    assert found == sorted(map(tuple, many.collect()), key=repr) and len(found) == 1000 and dict(few.dtypes)["cost"] == "decimal(15,2)"
+    assert few.rdd.getNumPartitions() == 1 and many.rdd.getNumPartitions() >= 9
+    x, y = (next(r for r in found if r[:2] == (arm, 5)) for arm in "xy")
+    rows = [(i, i % 7) for i in range(4000) if i % 500 == 5]
+    true = {k for _, k in rows if k < 3}
+    for arm, r in (("x", x), ("y", y)):
+        own = {k for i, k in rows if (i % 3 == 0) == (arm == "x") and k < 6}
+        assert r[2:5] == (len(own & true), len(own - true), len(true - own)) and r[6] == sum(k for i, k in rows if (i % 3 == 0) == (arm == "x") and k < 6)
+    assert [r[2:5] for r in found if r[1] is None] == [(0, 0, 3)] * 2
+
+
 def test_folding(spark):
     r = spark.createDataFrame([("  École  Ñandú É ß ø ",), (None,)], "t string").select(folded(F.col("t")).alias("x")).collect()
     assert [x["x"] for x in r] == ["ecole nandu e ß ø", None]

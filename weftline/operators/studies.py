@@ -83,25 +83,34 @@ def ladder(rows: DataFrame, key: str, issue: str, text: str, step: int = 7) -> D
     return full.select("key", "issue", F.explode(levels).alias("l")).where("l.answer IS NOT NULL").select("key", "issue", "l.level", "l.answer")
 
 
-def arm_scores(answers: DataFrame, truth: DataFrame, costs: DataFrame) -> DataFrame:
+def arm_scores(answers: DataFrame, truth: DataFrame, costs: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """arm, id, tp, fp, fn, f1, cost for every arm and every id of ``truth``: any number of arms in one pass over long tables.
 
     answers: arm, id, issue; truth: id, issue (ids without issues as a null one); costs: arm, id, cost. What an arm doesn't
     answer it has missed; repeated answers count once. Arms are few: their names, counted first, are sent to all tasks.
+    The three tables are shuffled once, by ids, to tasks of some ``rows`` rows; there an id is one row of what is true, said and spent.
     """
     arms = shared.kept(answers.select("arm").where("arm IS NOT NULL").distinct(), "arms")
     if arms.count() > 1000:
         raise ValueError("more than 1000 arms")
-    true = truth.select("id", "issue").distinct().crossJoin(F.broadcast(arms)).select("arm", "id", "issue", F.lit(True).alias("true"), F.lit(False).alias("said"))
-    ids = truth.select("id").distinct()
-    said = answers.where("arm IS NOT NULL").select("arm", "id", "issue", F.lit(False).alias("true"), F.lit(True).alias("said")).join(ids, "id", "left_semi").select("arm", "id", "issue", "true", "said")
-    one = true.unionByName(said).groupBy("arm", "id", "issue").agg(F.bool_or("true").alias("true"), F.bool_or("said").alias("said"))
-    real = F.col("issue").isNotNull()
-    t, s = F.col("true"), F.col("said")
-    sums = one.groupBy("arm", "id").agg(F.count_if(real & t & s).alias("tp"), F.count_if(real & s & ~t).alias("fp"), F.count_if(real & t & ~s).alias("fn"))
-    spent = costs.groupBy("arm", "id").agg(F.sum("cost").alias("cost"))
+    total = costs.agg(F.sum("cost").alias("cost")).schema["cost"].dataType
+    whole = truth.select("id", F.lit(0).cast("byte").alias("kind"), F.lit(None).alias("arm"), "issue", F.lit(None).alias("cost"))
+    for table, kind, issue, cost in ((answers, 1, F.col("issue"), F.lit(None)), (costs, 2, F.lit(None), F.col("cost"))):
+        whole = whole.unionByName(table.where("arm IS NOT NULL AND id IS NOT NULL").select("id", F.lit(kind).cast("byte").alias("kind"), "arm", issue.alias("issue"), cost.alias("cost")))
+    # each task holds as many rows however large the tables are; a number that is asked for isn't changed by size
+    tasks = max(1, -(-sum(t.count() for t in (answers, truth, costs)) // rows))
+    once = whole.repartition(tasks, "id").groupBy("id", "kind", "arm", "issue").agg(F.sum("cost").alias("cost"))
+    of = lambda kind, value: F.collect_list(F.when(F.col("kind") == kind, value))
+    by_id = once.groupBy("id").agg(
+        F.count_if(F.col("kind") == 0).alias("asked"), of(0, F.col("issue")).alias("true"),
+        F.collect_list(F.when((F.col("kind") == 1) & F.col("issue").isNotNull(), F.struct("arm", "issue"))).alias("said"), of(2, F.struct("arm", "cost")).alias("spent"),
+    ).where("asked > 0")
+    own = lambda rows, value: F.transform(F.filter(rows, lambda x: x["arm"] == F.col("name")), lambda x: x[value])
+    each = by_id.crossJoin(F.broadcast(arms.withColumnRenamed("arm", "name"))).withColumn("own", own("said", "issue")).withColumn("tp", F.size(F.array_intersect("own", "true")).cast("long"))
+    fp, fn = F.size("own") - F.col("tp"), F.size("true") - F.col("tp")
+    scored = each.select(F.col("name").alias("arm"), "id", "tp", fp.alias("fp"), fn.alias("fn"), F.coalesce(F.get(own("spent", "cost"), F.lit(0)), F.lit(0).cast(total)).alias("cost"))
     f1 = F.round(F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)), 6)
-    return sums.join(spent, ["arm", "id"], "left").select("arm", "id", "tp", "fp", "fn", f1.alias("f1"), F.coalesce("cost", F.lit(0)).alias("cost"))
+    return scored.select("arm", "id", "tp", "fp", "fn", f1.alias("f1"), "cost")
 
 
 def spotted(rows: DataFrame, key: str, text: str, rules: list[tuple[str, str, int]]) -> DataFrame:
