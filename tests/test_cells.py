@@ -4,11 +4,13 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_index import asked, corpus, rows
 from weftline.operators import cells, index, search
+from weftline.plans import ORACLES, QUERIES
 from weftline.sources import shared
 
 
@@ -95,6 +97,55 @@ def test_cosines_of_a_category_are_those_of_a_plain_pass(spark, monkeypatch, ter
     assert {(r["query_id"], r["id"]): r["side"] for r in of_sides} == {(i, j): j % 2 == 0 for i, j in got if j % 4 != 1}
 
 
+def shuffled(spark) -> int:
+    """Bytes that the session's stages have written for shuffles."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    store = spark.sparkContext._jsc.sc().statusStore()
+    found = store.stageList(jvm.java.util.ArrayList(), False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(found.apply(i).shuffleWriteBytes() for i in range(found.size()))
+
+
+def test_words_of_cosines_are_not_shuffled_one_by_one(spark, tmp_path):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(2000)]
+    texts = [(i, rng.choice(["en", "fr"]), " ".join(rng.sample(words, 300))) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, lang string, text string").repartition(4)
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("lang").alias("category"), F.col("doc_id").alias("exclude"), "text")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # no table is small
+    try:
+        before = shuffled(spark)
+        assert search.best(search.tfidf(docs, asked, 4), ["query_id"], [F.desc("score"), F.col("id")], 4).count() == 4 * 8
+        made = shuffled(spark) - before
+        assert made < 20 * 400 * 300, made  # a hash a word of a document is 8, words one by one would be 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+@pytest.mark.parametrize("terms", [200, 10**6])
+def test_cosines_of_odd_ids_are_those_of_sql(spark, tmp_path, monkeypatch, terms):
+    """Ids that stand twice, in one category or in two, null ids, texts and categories, words of all documents or of one."""
+    monkeypatch.setattr(cells, "DOC_TERMS", terms)
+    monkeypatch.setattr(cells, "QUERY_TERMS", terms // 4)
+    monkeypatch.setattr(cells, "PART_WORDS", max(terms // 20, 4))
+    monkeypatch.setattr(cells, "BATCH", 3)
+    rng, words = random.Random(11), [a + b + "words" for a in "abcdefghij" for b in "stuvwxyz"]
+    texts = [(i, rng.choice(["en", "fr", "es"]), "everywhere " + " ".join(rng.choices(words, k=rng.randrange(0, 40)))) for i in range(50, 450)]
+    texts += [(i, rng.choice(["en", "fr"]), " ".join(rng.choices(words, k=20))) for i in range(52, 90) if i % 50]
+    texts += [(None, "en", "aswords bswords"), (None, "fr", None), (901, "en", None), (902, None, "aswords"), (1000, "de", "aswords"), (1100, "en", "onlyhere"), (1200, "es", "")]
+    spark.createDataFrame(texts, "doc_id long, lang string, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, rng.choice([0, 1]), 0) for i in range(50, 400) if i % 7] + [(None, 1, 0), (2000, 0, 0), (901, 1, 0), (55, None, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name in ("r06_tfidf_in_category", "r07_balanced_topk"):
+        with duckdb.connect() as db:
+            for t in ("documents", "labels"):
+                db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+            want = db.execute(ORACLES[name]).fetchall()
+        assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(want) and want
+
+
 def test_fusion_in_cells_is_that_of_all_pairs(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(cells, "DOC_TERMS", 1500)
     docs = corpus(spark).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).localCheckpoint()

@@ -81,24 +81,35 @@ def tfidf(docs: DataFrame, queries: DataFrame, k: int, *, id_col: str = "doc_id"
     """query_id, id, score: cosine of content words weighted ln(N/df), within the query's category and without the documents it excludes: candidates for its ``k`` best.
 
     Words count once a text. N and df are those of the category less the query's own text (``exclude``), for the
-    query's weights. Scores are made in cells, so no pair of query and document is a row; each cell gives a query's
-    ``k`` best; with ``sides`` (id, side: true or false) the ``k`` best of either side among its documents, with their side.
+    query's weights. Scores and norms are made in cells, so no pair of query and document is a row, nor is a document's
+    word but to be counted; each cell gives a query's ``k`` best; with ``sides`` (id, side: true or false) the ``k`` best of
+    either side among its documents, with their side.
     """
-    given = docs.select(F.col(id_col).alias("id"), F.col(category).alias("category"), F.transform(content_words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("terms"))
-    given = kept(given.where("category IS NOT NULL"), "words")
-    words = given.select("id", "category", F.explode("terms").alias("term"))
-    df = kept(words.groupBy("category", "term").agg(F.count("*").alias("df")).join(given.groupBy("category").agg(F.count("*").alias("n")), "category"), "df")
-    norms = words.join(df, ["category", "term"]).groupBy("id").agg(F.sqrt(F.sum(F.log(F.col("n") / F.col("df")) ** 2)).alias("scale"))
-    # the excluded document is the query's own text, so each of its words has one document less
-    q = queries.select("query_id", "category", "exclude", F.explode(F.transform(content_words(F.col("text")), lambda w: F.xxhash64(w))).alias("term"))
-    q = q.join(df, ["category", "term"]).where("df > 1").select("query_id", "category", "exclude", "term", (F.log((F.col("n") - 1) / (F.col("df") - 1)) ** 2).alias("weight"))
-    asked = q.groupBy(F.col("category").alias("group"), "query_id", "exclude").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("t"), F.sqrt(F.sum("weight")).alias("q_norm"))
-    asked = asked.select("group", "query_id", "exclude", "q_norm", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"))
-    ready = given.join(norms, "id").select(F.col("category").alias("group"), "id", "scale", "terms", F.array_repeat(F.lit(1), F.size("terms")).alias("tfs"))
+    hashes = lambda text: F.transform(content_words(F.col(text)), lambda w: F.xxhash64(w))
+    given = docs.select(F.col(id_col).alias("id"), F.col(category).alias("group"), hashes(text_col).alias("terms")).where(F.col("group").isNotNull())
+    given = kept(given, "words", **{"parquet.dictionary.page.size": 16 << 20})  # numbers of words, not hashes
+    words = given.select("group", F.explode("terms").alias("term"))
+    counts = kept(words.groupBy("group", "term").agg(F.count("*").cast("int").alias("df")).where("df > 1"), "df")
+    sizes = given.groupBy("group").agg(F.count("*").alias("n"))
+    parts = kept(counts.groupBy("group").agg(F.ceil(F.count("*") / cells.PART_WORDS).alias("parts")).join(sizes, "group"), "sizes")  # a row a category
+    known = counts.join(parts, "group").groupBy("group", F.pmod("term", "parts").cast("int").alias("part"), "n").agg(F.collect_list(F.struct("term", "df")).alias("w"))
+    known = kept(known.select("group", "part", "n", F.col("w.term").alias("terms"), F.col("w.df").alias("dfs")), "known")
+    slots = known.select("group", "part", F.posexplode("terms").alias("place", "term")).select("group", "term", (F.shiftleft("part", cells.PLACE_BITS) + F.col("place")).alias("slot"))
+    asked = queries.select("query_id", F.col("category").alias("group"), "exclude", F.explode(hashes("text")).alias("term")).join(slots, ["group", "term"])
+    asked = kept(asked.groupBy("group", "query_id", "exclude").agg(F.sort_array(F.collect_list("slot")).alias("slots")), "asked")
+    # an id that stands in several categories has one norm
+    where = given.where("id IS NOT NULL").select("group", "id")
+    twice = kept(where.groupBy("id").agg(F.min("group").alias("a"), F.max("group").alias("b")).where("a <> b").select("id"), "twice")
+    rows = given.where(F.lit(False)) if twice.isEmpty() else given.join(twice, "id")
+    rows = rows.select("id", "group", F.explode("terms").alias("term")).join(counts, ["group", "term"], "left").join(sizes, "group")
+    squares = rows.groupBy("id").agg(F.sum(F.log(F.col("n") / F.coalesce("df", F.lit(1))) ** 2).alias("square"))
     if sides is None:
-        return cells.folded(ready, asked, cells.once, *cells.best_cosine(k))
-    found = [cells.folded(ready.join(sides.where(F.col("side") == s).select("id"), "id", "left_semi"), asked, cells.once, *cells.best_cosine(k)).withColumn("side", F.lit(s)) for s in (True, False)]
-    return found[0].unionByName(found[1])
+        marks = squares.withColumn("true", F.lit(None).cast("boolean")).withColumn("false", F.lit(None).cast("boolean"))
+    else:
+        either = sides.groupBy("id").agg(F.bool_or("side").alias("true"), F.bool_or(~F.col("side")).alias("false"))
+        marks = either.join(squares, "id", "full")
+    marks = kept(where.join(marks, "id").distinct(), "marks")
+    return cells.cosines(given, known, marks, asked, k, sides is not None)
 
 
 def balanced(scored: DataFrame, side: str, k: int) -> DataFrame:

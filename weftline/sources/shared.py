@@ -32,10 +32,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again, so that lineage ends there."""
+def kept(df: DataFrame, name: str, **options: object) -> DataFrame:
+    """``df`` written as Parquet (with the writer's ``options``) in the shared folder and read again, so that lineage ends there."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
