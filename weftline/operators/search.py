@@ -108,8 +108,7 @@ def tfidf(docs: DataFrame, queries: DataFrame, k: int, *, id_col: str = "doc_id"
     else:
         either = sides.groupBy("id").agg(F.bool_or("side").alias("true"), F.bool_or(~F.col("side")).alias("false"))
         marks = either.join(squares, "id", "full")
-    marks = kept(where.join(marks, "id").distinct(), "marks")
-    return cells.cosines(given, known, marks, asked, k, sides is not None)
+    return cells.cosines(given, known, where.join(marks, "id").distinct(), asked, k, sides is not None)
 
 
 def balanced(scored: DataFrame, side: str, k: int) -> DataFrame:
